@@ -25,7 +25,7 @@ ONE_IN = 20
 MAX_BENCHMARK_CHARS = 256 << 20
 
 # Word characters are 0-9, A-Z, a-z and everything beyond ASCII; A-Z count as a-z.
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80, 0x100))
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 0x20 for b in range(256))
 
