@@ -47,21 +47,18 @@ def receipt(array: Array, axes: Sequence[S.Axis], coalesce: bool = True) -> Data
     """One row: requests, bytes, touched chunks and shards, and how many bytes are read for each that was asked for."""
     d = array.descriptor
     size = F.col("end") - F.col("start")
-    sums = requests(array, axes, coalesce).agg(
-        F.count("*").alias("object_requests"),
-        F.count_if(F.col("kind").isin("index", "data")).alias("range_requests"),
-        F.count_if(F.col("kind") == "length").alias("length_requests"),
-        F.coalesce(F.sum(F.when(F.col("kind") == "index", size)), F.lit(0)).alias("index_bytes"),
-        F.coalesce(F.sum(F.when(F.col("kind").isin("data", "object"), size)), F.lit(0)).alias("data_bytes"),
-    )
-    plan = S.chunk_plan(array.spark, d, axes, inner=True).agg(F.count("*").alias("touched_chunks"), F.coalesce(F.sum("elements"), F.lit(0)).alias("requested_elements"))
-    shards = S.chunk_plan(array.spark, d, axes).agg(F.count("*").alias("n"))
-    row = sums.join(plan, how="cross").join(shards, how="cross")  # one row each
-    logical = F.col("requested_elements") * d.dtype.width
-    row = row.select(
-        "*", (F.col("index_bytes") + F.col("data_bytes")).alias("bytes_read"), logical.alias("logical_bytes"),
-        (F.col("n") if d.sharding else F.lit(0).cast("long")).alias("touched_shards"),
+    zero = F.lit(0).cast("long")
+    part = lambda rows, **columns: rows.select(*[columns.get(c, zero).cast("long").alias(c) for c in (*_COUNTS[:5], *_COUNTS[6:9])])
+    one, of = F.lit(1), lambda *kinds: F.col("kind").isin(*kinds).cast("long")
+    rows = part(
+        requests(array, axes, coalesce), object_requests=one, range_requests=of("index", "data"), length_requests=of("length"),
+        index_bytes=of("index") * size, data_bytes=of("data", "object") * size,
     )
+    rows = rows.unionByName(part(S.chunk_plan(array.spark, d, axes, inner=True), touched_chunks=one, requested_elements=F.col("elements")))
+    if d.sharding:
+        rows = rows.unionByName(part(S.chunk_plan(array.spark, d, axes), touched_shards=one))
+    row = rows.agg(*[F.coalesce(F.sum(c), zero).alias(c) for c in rows.columns])
+    row = row.select("*", (F.col("index_bytes") + F.col("data_bytes")).alias("bytes_read"), (F.col("requested_elements") * d.dtype.width).alias("logical_bytes"))
     amplification = F.coalesce(F.try_divide(F.col("bytes_read").cast("double"), F.col("logical_bytes")), F.lit(0.0)).alias("read_amplification")
     return row.select(*_COUNTS, amplification)
 
