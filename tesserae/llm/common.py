@@ -85,3 +85,14 @@ def kth_largest(df: DataFrame, column: str, k: int) -> int | None:
                 break
             k -= b["count"]
     return low
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows from the driver, as a local relation that needs no Python on the executors."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kinds = to_arrow_schema(_parse_datatype_string(schema))
+    columns = list(zip(*rows)) or [[] for _ in kinds]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds)], schema=kinds)
+    return spark.createDataFrame(table, _parse_datatype_string(schema))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint
+from tesserae.llm.common import checkpoint, small_frame
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -109,11 +109,10 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIG
     dealt = split_quotas(quotas, shards, seed).cumsum(axis=1).tolist() if n else []
 
     spark = docs.sparkSession
-    plan = spark.createDataFrame(
-        [(i, r["source"], *x) for i, (r, *x) in enumerate(zip(sizes, n, goal, width, blocks, whole, part, dealt))],
+    plan = small_frame(
+        spark, [(i, r["source"], *x) for i, (r, *x) in enumerate(zip(sizes, n, goal, width, blocks, whole, part, dealt))],
         "sid int, source string, source_size long, target double, width long, blocks long, whole int, part long, dealt array<long>",
     )
-    plan = F.broadcast(plan)  # at most MAX_SOURCES rows
     permuted = lambda *c: F.xxhash64(F.lit(seed), *c)
     units = (
         plan.where("blocks > 0")
@@ -126,24 +125,25 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIG
         .withColumn("shard", F.expr("size(filter(dealt, x -> x < unit))").cast("int"))
         .select("sid", "epoch", "block", "shard", permuted(F.lit("place"), "sid", "epoch", "block").alias("position"))
     )
-    known = rows.join(plan.select("sid", "source", "source_size", "target", "width"), rows["source"].eqNullSafe(plan["source"])).drop("source")
+    named = F.broadcast(plan.select("sid", F.col("source").alias("of"), "source_size", "target", "width"))  # at most MAX_SOURCES rows
+    known = rows.join(named, F.col("source").eqNullSafe(F.col("of"))).drop("source", "of")
     known = known.withColumn("slice", F.shiftrightunsigned("h", 64 - SLICE_BITS).cast("int"))
     sums = known.groupBy("sid", "slice").agg(F.sum("size").alias("n"))
     earlier = Window.partitionBy("sid").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("sid", "slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
     inside = Window.partitionBy("sid", "slice").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
-    placed = known.join(sums, ["sid", "slice"]).withColumn("end", F.col("base") + F.sum("size").over(inside))
+    placed = known.where("size > 0").join(sums, ["sid", "slice"]).withColumn("end", F.col("base") + F.sum("size").over(inside))
     placed = placed.withColumn("start", F.col("end") - F.col("size"))
-    met = placed.where("size > 0").withColumn("block", F.explode(F.expr("sequence(start div width, (end - 1) div width)")))
-    pieces = met.join(units, ["sid", "block"]).select(
-        "h", "doc_id", "shard", "position", "epoch", "sid", "start", "size", "source_size", "target",
-        F.expr("greatest(block * width, start) - start").alias("first"), F.expr("least(block * width + width, end) - start").alias("last"),
-    )
+    met = placed.withColumn("block", F.explode(F.expr("sequence(start div width, (end - 1) div width)")))
+    first, last = F.expr("greatest(block * width, start) - start"), F.expr("least(block * width + width, end) - start")
+    met = met.select("h", "doc_id", "sid", "start", "size", "source_size", "target", "block", first.alias("first"), last.alias("last"))
+    copies = units.groupBy("sid", "block").agg(F.count("*").alias("n"))
     key = ["sid", "start", "doc_id", "size", "source_size", "target"]  # a row with words is alone at its start
-    taken = pieces.groupBy(*key).agg(F.sum(F.col("last") - F.col("first")).alias("taken"))
-    result = placed.join(taken.select("sid", "start", "taken"), ["sid", "start"], "left").select(
-        "doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken")
-    )
+    words_taken = F.sum((F.col("last") - F.col("first")) * F.coalesce("n", F.lit(0))).cast("long").alias("taken")
+    taken = met.join(copies, ["sid", "block"], "left").groupBy(*key).agg(words_taken)
+    columns = ["doc_id", "size", "source_size", "target"]
+    result = taken.select(*columns, "taken").unionByName(known.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
+    pieces = met.join(units, ["sid", "block"])
     return result, pieces.select("h", "doc_id", "shard", "position", "epoch", "first", "last")
 
 
