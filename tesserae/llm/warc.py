@@ -76,8 +76,9 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         "record_id", "warc_type", "profile", canonical_url(F.col("target_uri")).alias("url"), "warc_date",
         F.unix_micros("warc_date").alias("at"), "http_status", "http_headers", "payload_digest", "payload_length",
     )
-    span = rows.agg(F.min("at").alias("first"), ((F.max("at") - F.min("at")) / slices + 1).cast("long").alias("width"))
-    rows = rows.join(F.broadcast(span), how="cross").withColumn("slice", F.expr("(at - first) div width"))  # one row
+    first, last = rows.agg(F.min("at"), F.max("at")).first()
+    first, width = first or 0, ((last or 0) - (first or 0)) // slices + 1
+    rows = rows.withColumn("slice", F.expr(f"(at - {first}L) div {width}L"))
     full = (F.col("warc_type") == RESPONSE) & (F.col("http_status") == 200)
     found = F.struct("record_id", "warc_date", "http_headers", "payload_digest", "payload_length")
     moments = (
