@@ -24,6 +24,7 @@ from tesserae.functions.strict_json import loads
 from tesserae.plans import selection as S
 from tesserae.plans.descriptor import ArrayDescriptor, parse_v2, parse_v3
 from tesserae.plans.shards import decode_index, shard_slices
+from tesserae.sources import http
 from tesserae.sources.objects import Store, alternatives
 
 #: Cells of one Arrow batch, and elements that the driver takes as one numpy array, at most.
@@ -50,19 +51,21 @@ class Group:
     document: Mapping = field(default_factory=dict)
 
 
-def _document(store: Store, path: str, name: str):
-    raw = store.read(join_path(path, name) if path else name)
+def _document(store: Store | str, path: str, name: str):
+    key = join_path(path, name) if path else name
+    raw = http.read(store, key, 16 << 20) if isinstance(store, str) else store.read(key)
     return None if raw is None else loads(raw)
 
 
 def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry = Registry()) -> Array | Group:
     """The node at ``path`` of the store at ``root``: v3 first, then v2 (its consolidated document at the root first)."""
-    store = Store(spark, root)
+    store = root if http.is_http(root) else Store(spark, root)
+    at = root if http.is_http(root) else store.root
     if (doc := _document(store, path, "zarr.json")) is not None:
         if doc.get("node_type") == "array":
-            return Array(spark, store.root, path, parse_v3(doc, registry.codecs, registry.types))
+            return Array(spark, at, path, parse_v3(doc, registry.codecs, registry.types))
         if doc.get("node_type") == "group":
-            return Group(spark, store.root, path, doc.get("attributes", {}), 3, doc)
+            return Group(spark, at, path, doc.get("attributes", {}), 3, doc)
         raise InvalidMetadata(f"node type {doc.get('node_type')!r}")
     inline = _document(store, "", ".zmetadata")
     if inline is not None:
@@ -71,9 +74,9 @@ def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry
     else:
         get = lambda name: _document(store, path, name)
     if (doc := get(".zarray")) is not None:
-        return Array(spark, store.root, path, parse_v2(doc, get(".zattrs"), registry.codecs))
+        return Array(spark, at, path, parse_v2(doc, get(".zattrs"), registry.codecs))
     if (doc := get(".zgroup")) is not None:
-        return Group(spark, store.root, path, get(".zattrs") or {}, 2, inline or {})
+        return Group(spark, at, path, get(".zattrs") or {}, 2, inline or {})
     raise NodeNotFound(f"no node at {path or 'the root'} of {root}")
 
 
@@ -125,6 +128,8 @@ class Array:
     def objects(self, axes: Sequence[S.Axis]) -> DataFrame | None:
         """``(c0.., key, length, content)`` of the objects of the touched chunks that exist."""
         d = self.descriptor
+        if http.is_http(self.root):
+            return http.fetched(self._asked(axes), self.root)
         steps = []
         for axis, chunk in zip(axes, d.chunks):
             n = axis.touched(chunk)
@@ -146,10 +151,16 @@ class Array:
         keep = reduce(lambda a, b: a & b, [F.col(f"c{k}") != "" for k in range(d.rank)], F.lit(True))
         return found.where(keep).select(*[F.col(f"c{k}").cast("long").alias(f"c{k}") for k in range(d.rank)], "key", "length", "content")
 
+    def _asked(self, axes: Sequence[S.Axis]) -> DataFrame:
+        """The plan's keys with their paths in the store, one request to a row, spread over the tasks."""
+        plan = S.keyed_plan(self.spark, self.descriptor, axes)
+        path = F.concat(F.lit(f"{self.path}/"), "key") if self.path else F.col("key")
+        return plan.select(*[f"c{k}" for k in range(self.descriptor.rank)], "key", path.alias("path")).repartition(self.spark.sparkContext.defaultParallelism)
+
     def missing(self, axes: Sequence[S.Axis]) -> DataFrame:
         """``(c0..)`` of touched chunks without an object."""
         plan = S.keyed_plan(self.spark, self.descriptor, axes)
-        found = self.objects(axes)
+        found = http.fetched(self._asked(axes), self.root, content=False) if http.is_http(self.root) else self.objects(axes)
         cols = [f"c{k}" for k in range(self.descriptor.rank)]
         return (plan if found is None else plan.join(found.select("key"), "key", "left_anti")).select(*cols or [F.lit(0).alias("none")])
 
