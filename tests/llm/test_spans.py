@@ -1,0 +1,118 @@
+"""Secret scan and personal data against plain regular expressions and held-out sentences."""
+
+import hashlib
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tesserae.llm import pii, secret_scan
+
+ASSIGN = r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+
+
+def brute_secrets(text):
+    out = [(m.start(), 0, "assign", m.end()) for m in re.finditer(ASSIGN, text, re.ASCII) if len(m[2]) >= 8]
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def brute_pii(text):
+    out = [(m.start(), 0, "email", m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            out.append((m.start(), 1, "ip", m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = [int(c) for c in re.sub("[^0-9]", "", m[0])][::-1]
+        if 14 <= len(d) <= 19 and (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10 == 0:
+            out.append((m.start(), 2, "card", m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m[0])) <= 15:
+            out.append((m.start(), 3, "phone", m.end()))
+    return sorted(out)
+
+
+SECRETS = st.lists(st.sampled_from(["token", "Secret", "API_KEY", "apikey", "=", ":", '"', " ", "abcdefgh", "x", "AKIA", "ABCD0123", "0123456789abcdef", "\n", "ſecret", "é"]), max_size=30).map("".join)
+PERSONAL = st.lists(st.sampled_from(["a", "b.c", "@", ".", "com", "1", "12", "255", "4111 1111 1111 1111", "4", "+", "(", ")", "-", " ", "5550123", "é", "\n"]), max_size=30).map("".join)
+
+
+@settings(max_examples=400, deadline=None)
+@given(SECRETS)
+def test_base_secrets_equal_plain_patterns(text):
+    assert sorted(secret_scan.base_spans(text)) == brute_secrets(text)
+
+
+@settings(max_examples=400, deadline=None)
+@given(PERSONAL)
+def test_base_pii_equals_plain_patterns(text):
+    assert sorted(pii.base_spans(text)) == brute_pii(text)
+
+
+def test_lexer_follows_constants():
+    text = 'KEY = "s3cr3t-V4lue-91x"\nother = KEY\nclient.password = other\ndb_password: "changeme"\nname = "s3cr3t-V4lue-91x"\nauthToken := "ab12" + "Cd34Ef56"\n'
+    spans = sorted((text[a:b], kind) for a, _, kind, b in secret_scan.lexed_spans(text))
+    assert spans == [("Cd34Ef56", "pair"), ("ab12", "pair"), ("s3cr3t-V4lue-91x", "const")]
+    assert secret_scan.lexed_spans("He told the secret: nothing happened. a=a\nb=c\nc=b\npassword=b") == []
+    assert secret_scan.lexed_spans("password = " * 2000) == []
+
+
+def test_secret_rows(spark, docs, no_docs):
+    more = spark.createDataFrame([(900, 'x token = "abcdefgh12" y'), (901, None)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in secret_scan.scan(more).collect()}
+    assert rows[900].n_assign == 1 and rows[900].base_sha256 == hashlib.sha256(b"assign:2:21").hexdigest()
+    assert rows[901].spans == "" and rows[901].base_sha256 == hashlib.sha256(b"").hexdigest()
+    assert secret_scan.scan(docs).count() == docs.count() and secret_scan.scan(no_docs).count() == 0
+
+
+def test_field_on_held_out_sentences():
+    field = pii.trained()
+    right = wrong = missed = 0
+    for words, labels in pii.labelled_table(400, seed=77):
+        text = " ".join(words)
+        got = {w: 0 for w in range(len(words))}
+        at = [0]
+        for w in words:
+            at.append(at[-1] + len(w) + 1)
+        for a, _, kind, b in pii.crf_spans([text], field)[0]:
+            for i in range(len(words)):
+                if at[i] < b and a < at[i + 1] - 1:
+                    got[i] = pii.LABELS.index(kind[4:])
+        for i, y in enumerate(labels):
+            right += y == got[i] != 0
+            wrong += got[i] != 0 and y != got[i]
+            missed += y != 0 and got[i] != y
+    assert right / (right + wrong) > 0.97 and right / (right + missed) > 0.97
+
+
+def test_viterbi_is_the_best_path():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    scores, pairs = rng.normal(size=(5, 4, 3)), rng.normal(size=(3, 3))
+    got = pii.viterbi(scores, pairs)
+    for s, labels in zip(scores, got):
+        def value(p):
+            return sum(s[i, y] for i, y in enumerate(p)) + sum(pairs[a, b] for a, b in zip((0, *p), (*p, 0)))
+
+        assert value(labels) == max(value(p) for p in itertools.product(range(3), repeat=4))
+
+
+def test_pii_rows_and_mask(spark, docs, no_docs):
+    found = {r.doc_id: r for r in pii.find(docs).collect() if r.doc_id is not None}
+    assert len(found) == docs.where("doc_id is not null").select("doc_id").distinct().count()
+    assert pii.find(no_docs).count() == 0 and pii.mask(no_docs).count() == 0
+    text = "write to a.b@c.org or +1 (545) 555-1234, ok; card 4111 1111 1111 1111"
+    more = spark.createDataFrame([(1, text, "x"), (2, "clean words only", "y"), (3, None, "z")], "doc_id long, text string, fp string")
+    out = {r.doc_id: (r.text, r.fp) for r in pii.mask(more).collect()}
+    assert out[1] == ("write to <EMAIL> or <PHONE>, ok; card <CARD>", "x")
+    assert out[2] == ("clean words only", "y") and out[3] == (None, "z")
+
+
+def test_long_texts_are_linear():
+    long = "a" * 300_000 + "@" + "1" * 300_000 + "." * 1000 + "+1" * 50_000
+    pii.base_spans(long)
+    secret_scan.base_spans(long)
+    secret_scan.lexed_spans("x=" * 50_000 + "'" * 1001)
