@@ -90,6 +90,16 @@ def open_array(spark: SparkSession, root: str, path: str = "", dtype: str | None
     return node
 
 
+def open_table(objects: DataFrame, path: str = "", registry: Registry = Registry()) -> Array:
+    """A v3 array whose objects are rows ``(key, payload)`` of a table; the payloads of other chunks are not read."""
+    key = join_path(path, "zarr.json") if path else "zarr.json"
+    found = objects.where(F.col("key") == key).select("payload").limit(1).collect()
+    if not found:
+        raise NodeNotFound(f"no {key} in the table")
+    d = parse_v3(loads(bytes(found[0].payload)), registry.codecs, registry.types)
+    return Array(objects.sparkSession, "", path, d, objects)
+
+
 def open_group(spark: SparkSession, root: str, path: str = "") -> Group:
     node = open_node(spark, root, path)
     if not isinstance(node, Group):
@@ -105,6 +115,7 @@ class Array:
     root: str
     path: str
     descriptor: ArrayDescriptor
+    table: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
@@ -128,6 +139,9 @@ class Array:
     def objects(self, axes: Sequence[S.Axis]) -> DataFrame | None:
         """``(c0.., key, length, content)`` of the objects of the touched chunks that exist."""
         d = self.descriptor
+        if self.table is not None:
+            rows = self.table.select(F.col("key").alias("path"), F.length("payload").cast("long").alias("length"), F.col("payload").alias("content"))
+            return self._asked(axes).join(rows, "path").drop("path")
         if http.is_http(self.root):
             return http.fetched(self._asked(axes), self.root)
         steps = []
@@ -155,7 +169,8 @@ class Array:
         """The plan's keys with their paths in the store, one request to a row, spread over the tasks."""
         plan = S.keyed_plan(self.spark, self.descriptor, axes)
         path = F.concat(F.lit(f"{self.path}/"), "key") if self.path else F.col("key")
-        return plan.select(*[f"c{k}" for k in range(self.descriptor.rank)], "key", path.alias("path")).repartition(self.spark.sparkContext.defaultParallelism)
+        plan = plan.select(*[f"c{k}" for k in range(self.descriptor.rank)], "key", path.alias("path"))
+        return plan if self.table is not None else plan.repartition(self.spark.sparkContext.defaultParallelism)
 
     def missing(self, axes: Sequence[S.Axis]) -> DataFrame:
         """``(c0..)`` of touched chunks without an object."""

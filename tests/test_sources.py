@@ -100,3 +100,58 @@ def test_region_prunes_chunks(spark, stored):
     assert len(range(*datasource.CellSource(options).reader(None).partitions()[0].value)) == 2
     rows = spark.read.format("tesserae").options(**options).load().collect()
     assert sorted(map(tuple, rows)) == [(a, b, DATA[a, b]) for a in range(3, 7) for b in range(4)]
+
+
+def test_objects_in_a_table(spark, stored):
+    from pyspark.sql import functions as F
+
+    from tesserae.sources.arrays import open_table
+
+    root, want = stored
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{root}/a")
+    table = rows.select(F.regexp_extract("path", "/a/(.*)$", 1).alias("key"), F.col("content").alias("payload"))
+    a = open_table(table)
+    assert (a.to_numpy() == want).all()
+    assert [r.v for r in a.points([(6, 10), (0, 0)]).orderBy("ord").collect()] == [76, -1]
+
+
+def test_own_codec_and_type(spark, tmp_path):
+    """An external codec and type, end to end."""
+    from dataclasses import dataclass
+
+    from tesserae.functions import codecs as C
+    from tesserae.functions.dtypes import DType
+    from tesserae.sources.arrays import Registry
+
+    @dataclass(frozen=True)
+    class Flip(C.Codec):
+        name = "flip"
+
+        def encode(self, data):
+            return data[::-1]
+
+        def decode(self, data, limit):
+            return data[::-1]
+
+    own = DType("day", "i4", "int")
+    d = ArrayDescriptor((5,), (2,), own, 0, (C.Bytes("little"), Flip()))
+    write.create_array(write.cells_of_numpy(spark, np.arange(5, dtype=np.int32), d), f"{tmp_path}/a", d)
+    with pytest.raises(ArrayError):
+        open_array(spark, f"{tmp_path}/a")
+    a = open_array(spark, f"{tmp_path}/a", registry=Registry({"day": own}, {"flip": lambda c, t: Flip()}))
+    assert a.to_numpy().tolist() == [0, 1, 2, 3, 4]
+    assert (tmp_path / "a/c/0").read_bytes() == b"\0\0\0\1\0\0\0\0"
+
+
+def test_stream_of_batches(spark, tmp_path):
+    from tesserae.streaming import write_batches
+
+    for k in range(2):
+        spark.range(4).selectExpr("id as i0", f"cast(id + {10 * k} as int) as v").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    cells = spark.readStream.schema("i0 long, v int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    d = ArrayDescriptor((4,), (3,), dtype("int32"), 0)
+    for _ in range(2):  # the second run finds its batches
+        query = write_batches(cells, f"{tmp_path}/out", d).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        query.awaitTermination(120)
+    got = sorted(open_array(spark, f"{tmp_path}/out", f"batch-0000000{k}").to_numpy().tolist() for k in range(2))
+    assert got == [[0, 1, 2, 3], [10, 11, 12, 13]]
