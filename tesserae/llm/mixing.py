@@ -137,13 +137,14 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[float, ...] = WEIG
     met = placed.withColumn("block", F.explode(F.expr("sequence(start div width, (end - 1) div width)")))
     first, last = F.expr("greatest(block * width, start) - start"), F.expr("least(block * width + width, end) - start")
     met = met.select("h", "doc_id", "sid", "start", "size", "source_size", "target", "block", first.alias("first"), last.alias("last"))
+    # blocks are made from a few rows, so their number is underestimated: merge joins, never a broadcast of them
     copies = units.groupBy("sid", "block").agg(F.count("*").alias("n"))
     key = ["sid", "start", "doc_id", "size", "source_size", "target"]  # a row with words is alone at its start
     words_taken = F.sum((F.col("last") - F.col("first")) * F.coalesce("n", F.lit(0))).cast("long").alias("taken")
-    taken = met.join(copies, ["sid", "block"], "left").groupBy(*key).agg(words_taken)
+    taken = met.join(copies.hint("merge"), ["sid", "block"], "left").groupBy(*key).agg(words_taken)
     columns = ["doc_id", "size", "source_size", "target"]
     result = taken.select(*columns, "taken").unionByName(known.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken")))
-    pieces = met.join(units, ["sid", "block"])
+    pieces = met.join(units.hint("merge"), ["sid", "block"])
     return result, pieces.select("h", "doc_id", "shard", "position", "epoch", "first", "last")
 
 
