@@ -108,14 +108,15 @@ def near_duplicates(
     vector in the index and are counted by their number: a repeated row links with its copies. An empty table gives an
     empty result.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"))
     sound = (
         F.col("v").isNotNull()
         & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
         & F.exists("v", lambda x: x != 0)
     )
-    rows = checkpoint(rows.withColumn("v", F.when(sound, F.transform("v", lambda x: x + F.lit(0.0)))))  # -0.0 is 0.0
-    key = F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)  # the text of a double is exact
+    rows = checkpoint(rows.withColumn("v", F.when(sound, F.transform("v", lambda x: x + F.lit(0.0).cast(kind)))))  # -0.0 is 0.0
+    key = F.sha2(F.array_join(F.col("v").cast("array<string>"), ","), 256)  # the text of a number is exact
     classes = checkpoint(
         rows.where("v is not null").groupBy(key.alias("key")).agg(
             F.min("vec_id").alias("first"), F.count("*").alias("size"), F.first("v").alias("v")
@@ -161,10 +162,11 @@ def _links(classes: DataFrame, width: int, n: int, threshold: float, target: flo
                     member.append(c == cell)
             row = np.array(row, np.int64)
             taken = {"rep": batch["rep"].take(pa.array(row)), "size": batch["size"].take(pa.array(row))}
-            v = pa.FixedSizeListArray.from_arrays(pa.array(u[row].ravel()), width).cast(pa.list_(pa.float64()))
+            v = batch["v"].take(pa.array(row))
             yield pa.RecordBatch.from_pydict({"cell": pa.array(cells, pa.int32()), "member": pa.array(member), **taken, "v": v})
 
-    filed = classes.select("rep", "size", "v").mapInArrow(visit, "cell int, member boolean, rep long, size long, v array<double>")
+    kind = classes.schema["v"].dataType.simpleString()
+    filed = classes.select("rep", "size", "v").mapInArrow(visit, f"cell int, member boolean, rep long, size long, v {kind}")
     filed = checkpoint(filed)
     cells = filed.groupBy("cell").agg(F.count("*").alias("queries"), F.count_if("member").alias("members"))
     blocks = cells.where("members > 0").select(
@@ -186,7 +188,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _verifier(index: MultiIndex, width: int, threshold: float):
     def verify(table: pa.Table) -> pa.Table:
         asks = table["asks"].to_numpy()
-        rep, size, v = table["rep"].to_numpy(), table["size"].to_numpy(), _matrix(table["v"], width)
+        rep, size, v = table["rep"].to_numpy(), table["size"].to_numpy(), _unit(_matrix(table["v"], width))
         q, m = np.flatnonzero(asks), np.flatnonzero(~asks)
         out_a, out_n = [], []
         forest = Forest(len(rep))
