@@ -72,9 +72,10 @@ def q_factored(spark, sf_dir):
 
 
 def _sparse(spark, sf_dir) -> tuple[DataFrame, ArrayDescriptor]:
+    """One user's values, by the number of the event."""
     rows = _table(spark, sf_dir, "events")
-    first, n = rows.agg(F.min("event_type"), F.max("event_id") + 1).first()
-    cells = rows.where(F.col("event_type") == first).where("event_id % 1000 < 500").select(F.col("event_id").cast("long").alias("i0"), F.col("value").alias("v"))
+    first, n = rows.agg(F.min("user_id"), F.max("event_id") + 1).first()
+    cells = rows.where(F.col("user_id") == first).select(F.col("event_id").cast("long").alias("i0"), F.col("value").alias("v"))
     return cells, ArrayDescriptor((n,), (64,), dtype("float64"), -1)
 
 
@@ -264,7 +265,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _CELLS = "SELECT vec_id AS i0, i - 1 AS i1, embedding[i] AS v FROM embeddings, range(1, 65) t(i)"
 _PRICES = "SELECT o_orderkey::BIGINT AS i0, o_totalprice AS v FROM orders"
-_KEPT = "event_type = (SELECT min(event_type) FROM events) AND event_id % 1000 < 500"
+_KEPT = "user_id = (SELECT min(user_id) FROM events)"
 _SHARDS = f"SELECT * FROM ({_CELLS}) WHERE i0 BETWEEN 10 AND 192 AND i1 BETWEEN 4 AND 27"
 _FILLED = f"SELECT event_id::BIGINT AS i0, CASE WHEN {_KEPT} THEN value ELSE -1 END::DOUBLE AS v FROM events"
 _DELTA = "SELECT event_id::BIGINT AS i0, (user_id - coalesce(lag(user_id) OVER (PARTITION BY event_id // 64 ORDER BY event_id), 0))::BIGINT AS v FROM events"

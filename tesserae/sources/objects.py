@@ -26,6 +26,8 @@ class Store:
         path = spark._jvm.org.apache.hadoop.fs.Path(root)
         self.fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
         self.root = self.fs.makeQualified(path).toString().rstrip("/")
+        if self.fs.getScheme() == "file":
+            self.fs = self.fs.getRawFileSystem()  # without checksum files beside the objects
 
     def path(self, key: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{key}" if key else self.root)
