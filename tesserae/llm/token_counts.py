@@ -42,8 +42,9 @@ def _encoder(path: str):
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Byte offsets of the tokens' starts and ends in the UTF-8 text."""
     encoding, lengths = _encoder(path)
-    ends = np.cumsum(lengths[np.asarray(encoding.encode_ordinary(text), np.int64)])
-    return np.concatenate(([0], ends[:-1])).astype(np.int64), ends
+    size = lengths[np.array(encoding.encode_ordinary(text), np.int64)]
+    ends = np.cumsum(size)
+    return ends - size, ends
 
 
 def attribute(starts: np.ndarray, ends: np.ndarray, section_starts: np.ndarray, section_ends: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
