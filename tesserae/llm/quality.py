@@ -75,12 +75,26 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Model:
 
     def count(batches) -> Iterator[pa.RecordBatch]:
         hashes, raw, target = _Hashes(), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        held: tuple[list, list] = ([], [])
+        n = 0
+
+        def add_up() -> None:
+            for sums, parts in zip((raw, target), held):
+                if parts:
+                    sums += np.bincount(np.concatenate(parts), minlength=buckets)
+                    parts.clear()
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = np.bincount(_buckets(text, hashes, buckets), minlength=buckets) if text else 0
-                raw += found
+                found = _buckets(text, hashes, buckets)
+                held[0].append(found)
                 if doc_id in good:
-                    target += found
+                    held[1].append(found)
+                n += len(found)
+                if n > 1 << 20:
+                    add_up()
+                    n = 0
+        add_up()
         some = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(raw[some]), pa.array(target[some])], ["bucket", "raw", "target"])
 
