@@ -23,7 +23,8 @@ THRESHOLD = 0.9
 TARGET_RECALL = 0.97
 #: The codebooks are fitted on so many vectors at most, those of the smallest hashes.
 SAMPLE_ROWS = 16384
-#: Centroids of a half, at least and at most; between them a sixth of the root of the number of vectors.
+#: Centroids of a half, at least and at most; between them a twelfth of the root of the number of vectors:
+#: fewer cells mean fewer visits to ship, more mean fewer vectors to verify.
 CENTROIDS = (4, 256)
 #: Vectors of a cell, or queries that visit it, in one tile.
 TILE_ROWS = 2048
@@ -49,7 +50,7 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float = THRESHOLD, target: float = TARGET_RECALL):
         self.half = sample.shape[1] // 2
-        k = int(min(max(n**0.5 / 6, CENTROIDS[0]), CENTROIDS[1], len(sample)))
+        k = int(min(max(n**0.5 / 12, CENTROIDS[0]), CENTROIDS[1], len(sample)))
         self.books = _kmeans(sample[:, : self.half], k), _kmeans(sample[:, self.half :], k)
         self.bound = 0.0
         rng = np.random.default_rng(0)
