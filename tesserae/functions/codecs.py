@@ -221,42 +221,36 @@ def _crc_table() -> np.ndarray:
     return t
 
 
-def _zeros(crc: int, n: int) -> int:
-    """The remainder after n more zero bytes, by squaring the matrix of one zero byte."""
-    table = _crc_table()
-    columns = [int(table[(1 << b) & 0xFF]) ^ ((1 << b) >> 8) for b in range(32)]
-    times = lambda v: _fold(columns, v)
+def _apply(columns: np.ndarray, crc: np.ndarray) -> np.ndarray:
+    """Remainders through a matrix over two elements, one column for each bit."""
+    bits = (crc[..., None] >> np.arange(32, dtype=np.uint32)) & 1
+    return np.bitwise_xor.reduce(np.where(bits == 1, columns, 0), axis=-1).astype(np.uint32)
+
+
+def _zeros(n: int) -> np.ndarray:
+    """The matrix that appends n zero bytes, by squaring that of one."""
+    bit = np.left_shift(np.uint32(1), np.arange(32, dtype=np.uint32))
+    out, step = bit, _crc_table()[bit & 0xFF] ^ (bit >> 8)
     while n:
-        if n & 1:
-            crc = times(crc)
-        columns = [times(c) for c in columns]
-        n >>= 1
-        times = lambda v, m=columns: _fold(m, v)
-    return crc
-
-
-def _fold(columns: list[int], v: int) -> int:
-    out = 0
-    while v:
-        low = v & -v
-        out ^= columns[low.bit_length() - 1]
-        v ^= low
+        out = _apply(step, out) if n & 1 else out
+        step, n = _apply(step, step), n >> 1
     return out
 
 
-def crc32c(data: bytes, lanes: int = 2048) -> int:
-    """CRC-32C; long data is cut into lanes that are read side by side and then joined."""
+def crc32c(data: bytes) -> int:
+    """CRC-32C. Data are cut into lanes that are read side by side and joined in pairs; zeros in front change nothing."""
     table = _crc_table()
-    width = -(-len(data) // lanes) if len(data) > 4 * lanes else len(data)
-    count = -(-len(data) // width) if width else 0
-    padded = np.frombuffer(data.rjust(width * count, b"\0"), np.uint8).reshape(count, width) if width else np.zeros((0, 0), np.uint8)
-    crc = np.zeros(count, np.uint32)
-    for byte in padded.T:
+    lanes = 1 << (len(data).bit_length() // 2)
+    width = -(-len(data) // lanes)
+    crc = np.zeros(lanes, np.uint32)
+    for byte in np.ascontiguousarray(np.frombuffer(data.rjust(width * lanes, b"\0"), np.uint8).reshape(lanes, width).T):
         crc = table[(crc ^ byte) & 0xFF] ^ (crc >> 8)
-    total = 0
-    for c in crc.tolist():
-        total = _zeros(total, width) ^ c if total else c
-    return total ^ _zeros(0xFFFFFFFF, len(data)) ^ 0xFFFFFFFF
+    shift = _zeros(width)
+    while len(crc) > 1:
+        crc = _apply(shift, crc[0::2]) ^ crc[1::2]
+        shift = _apply(shift, shift)
+    start = _apply(_zeros(len(data)), np.array([0xFFFFFFFF], np.uint32))
+    return int(crc[0] ^ start[0]) ^ 0xFFFFFFFF
 
 
 @dataclass(frozen=True)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tesserae.errors import InvalidSelection, ResourceLimit
@@ -117,24 +117,36 @@ def output_shape(axes: Sequence[Axis]) -> tuple[int, ...]:
     return tuple(a.length for a in axes)
 
 
+def _regular(axis: Axis, chunk: int, pos: Column) -> tuple[Column, Column]:
+    """Chunk and number of selected positions of the touched chunk at ``pos``, for a selector with a step."""
+    if axis.step >= chunk:
+        at = F.lit(axis.start).cast("long") + pos * F.lit(axis.step).cast("long")
+        return F.call_function("div", at, F.lit(chunk).cast("long")), F.lit(1).cast("long")
+    c = pos + (axis.start // chunk if axis.length else 0)
+    whole = lambda x: F.call_function("div", x - axis.start + axis.step - 1, F.lit(axis.step).cast("long"))
+    upto = lambda at: F.greatest(F.lit(0), F.least(F.lit(axis.length), whole(at)))
+    return c, (upto((c + 1) * chunk) - upto(c * chunk)).cast("long")
+
+
+def _listed(spark: SparkSession, axis: Axis, chunk: int) -> DataFrame:
+    """``(pos, chunk, n)`` for listed positions."""
+    rows = spark.createDataFrame([(int(v),) for v in axis.values], "v long").groupBy(F.expr(f"v div {chunk}").alias("chunk")).agg(F.count("*").alias("n"))
+    return rows.select((F.row_number().over(Window.orderBy("chunk")) - 1).cast("long").alias("pos"), "chunk", "n")
+
+
 def axis_plan(spark: SparkSession, axis: Axis, chunk: int) -> DataFrame:
     """``(pos, chunk, n)``: the touched chunks of an axis in order, with how many selected positions each has."""
     if axis.values is not None:
-        rows = spark.createDataFrame([(int(v),) for v in axis.values], "v long").groupBy(F.expr(f"v div {chunk}").alias("chunk")).agg(F.count("*").alias("n"))
-        from pyspark.sql import Window
-
-        return rows.select((F.row_number().over(Window.orderBy("chunk")) - 1).cast("long").alias("pos"), "chunk", "n")
-    count = axis.touched(chunk)
-    if axis.step >= chunk:
-        return spark.range(count).select(F.col("id").alias("pos"), F.expr(f"({axis.start} + id * {axis.step}) div {chunk}").alias("chunk"), F.lit(1).cast("long").alias("n"))
-    low = axis.start // chunk if axis.length else 0
-    upto = lambda at: F.greatest(F.lit(0), F.least(F.lit(axis.length), F.ceil((at - axis.start) / axis.step)))
-    c = F.col("id") + low
-    return spark.range(count).select(F.col("id").alias("pos"), c.alias("chunk"), (upto((c + 1) * chunk) - upto(c * chunk)).cast("long").alias("n"))
+        return _listed(spark, axis, chunk)
+    c, n = _regular(axis, chunk, F.col("id"))
+    return spark.range(axis.touched(chunk)).select(F.col("id").alias("pos"), c.alias("chunk"), n.alias("n"))
 
 
 def chunk_plan(spark: SparkSession, d: ArrayDescriptor, axes: Sequence[Axis], inner: bool = False) -> DataFrame:
-    """``(nth, c0.., elements)``: touched chunks (inner ones where asked for) in C order with their selected cells."""
+    """``(nth, c0.., elements)``: touched chunks (inner ones where asked for) in C order with their selected cells.
+
+    Axes with a step are arithmetic on the number; only listed positions are looked up.
+    """
     chunks = d.inner if inner else d.chunks
     counts = [a.touched(c) for a, c in zip(axes, chunks)]
     total = reduce(lambda a, b: a * b, counts, 1)
@@ -143,8 +155,13 @@ def chunk_plan(spark: SparkSession, d: ArrayDescriptor, axes: Sequence[Axis], in
     rows, stride = spark.range(total).withColumnRenamed("id", "nth").withColumn("elements", F.lit(1).cast("long")), total
     for k, (axis, chunk, n) in enumerate(zip(axes, chunks, counts)):
         stride = stride // n if n else 1
-        plan = axis_plan(spark, axis, chunk).select(F.col("pos").alias("_pos"), F.col("chunk").alias(f"c{k}"), F.col("n").alias("_n"))
-        rows = rows.withColumn("_pos", F.expr(f"(nth div {stride}) % {max(1, n)}")).join(plan, "_pos").withColumn("elements", F.col("elements") * F.col("_n")).drop("_pos", "_n")
+        pos = F.expr(f"(nth div {stride}) % {max(1, n)}")
+        if axis.values is None:
+            c, selected = _regular(axis, chunk, pos)
+            rows = rows.withColumns({f"c{k}": c, "elements": F.col("elements") * selected})
+        else:
+            plan = _listed(spark, axis, chunk).select(F.col("pos").alias("_pos"), F.col("chunk").alias(f"c{k}"), F.col("n").alias("_n"))
+            rows = rows.withColumn("_pos", pos).join(plan, "_pos").withColumn("elements", F.col("elements") * F.col("_n")).drop("_pos", "_n")
     return rows.select("nth", *[f"c{k}" for k in range(len(axes))], "elements")
 
 
