@@ -57,17 +57,27 @@ def _document(store: Store | str, path: str, name: str):
     return None if raw is None else loads(raw)
 
 
-def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry = Registry()) -> Array | Group:
-    """The node at ``path`` of the store at ``root``: v3 first, then v2 (its consolidated document at the root first)."""
+def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry = Registry(), mode: str = "prefer") -> Array | Group:
+    """The node at ``path`` of the store at ``root``: v3 first, then v2.
+
+    Consolidated metadata at the root answer for the nodes below it where ``mode`` is prefer; require fails without
+    them, ignore reads each node's own documents.
+    """
     store = root if http.is_http(root) else Store(spark, root)
     at = root if http.is_http(root) else store.root
-    if (doc := _document(store, path, "zarr.json")) is not None:
+    top = (_document(store, "", "zarr.json") or {}).get("consolidated_metadata") if path and mode != "ignore" else None
+    v3 = top.get("metadata", {}) if isinstance(top, dict) and top.get("kind") == "inline" else None
+    if mode == "require" and path and v3 is None and _document(store, "", ".zmetadata") is None:
+        raise NodeNotFound("no consolidated metadata")
+    if v3 is not None and path not in v3:
+        raise NodeNotFound(f"no node at {path} of {root}")
+    if (doc := v3[path] if v3 is not None else _document(store, path, "zarr.json")) is not None:
         if doc.get("node_type") == "array":
             return Array(spark, at, path, parse_v3(doc, registry.codecs, registry.types))
         if doc.get("node_type") == "group":
             return Group(spark, at, path, doc.get("attributes", {}), 3, doc)
         raise InvalidMetadata(f"node type {doc.get('node_type')!r}")
-    inline = _document(store, "", ".zmetadata")
+    inline = _document(store, "", ".zmetadata") if mode != "ignore" else None
     if inline is not None:
         known = inline.get("metadata", {})
         get = lambda name: known.get(join_path(path, name) if path else name)

@@ -292,3 +292,37 @@ def test_encoding_errors_name_the_fault(spark, tmp_path):
     with pytest.raises(Exception, match="outside int8|CAST_OVERFLOW|overflow"):
         write.create_array(spark.createDataFrame([(0, 900)], "i0 long, v int"), f"{tmp_path}/z", d)
     assert CodecError.__mro__[1].__name__ == "ArrayError"
+
+
+def test_v3_consolidated(spark, tmp_path):
+    d = ArrayDescriptor((3,), (2,), dtype("int32"), 7)
+    write.create_fill_array(spark, f"{tmp_path}/h", d, "bold")
+    inline = {"kind": "inline", "must_understand": False, "metadata": {"bold": json.loads(render_v3(d.checked())), "derived": {"zarr_format": 3, "node_type": "group"}}}
+    (tmp_path / "h/zarr.json").write_text(json.dumps({"zarr_format": 3, "node_type": "group", "consolidated_metadata": inline}))
+    os.remove(tmp_path / "h/bold/zarr.json")  # the index answers for it
+    root = f"{tmp_path}/h"
+    assert sorted(tuple(r) for r in hierarchy.nodes(spark, root, "require").collect()) == [("", "group", 3), ("bold", "array", 3), ("derived", "group", 3)]
+    assert open_array(spark, root, "bold").to_numpy().tolist() == [7, 7, 7]
+    with pytest.raises(NodeNotFound):
+        open_node(spark, root, "bold", mode="ignore")
+    with pytest.raises(NodeNotFound):
+        open_node(spark, root, "nothing")
+    with pytest.raises(NodeNotFound):
+        open_node(spark, f"{tmp_path}/none", "x", mode="require")
+
+
+CHAINS = st.tuples(
+    st.sampled_from(["int8", "uint16", "int64", "float32", "float64", "bool"]),
+    st.permutations(range(3)), st.booleans(), st.sampled_from(["little", "big"]),
+    st.lists(st.sampled_from([C.Gzip(1), C.Zlib(1), C.Zstd(1), C.Crc32c(), C.Blosc("zstd", 1, "shuffle", 4)]), max_size=3),
+)
+
+
+@settings(max_examples=80, deadline=None)
+@given(CHAINS, st.tuples(*[st.integers(1, 5)] * 3), st.integers(0, 2**32))
+def test_any_chain_round_trips(chain, shape, seed):
+    name, order, delta, endian, rest = chain
+    t = dtype(name)
+    x = np.random.default_rng(seed).integers(0, 2 if name == "bool" else 100, shape).astype(t.numpy)
+    codecs = C.checked_chain(C.typed((C.Transpose(tuple(order)), *([C.Delta()] if delta else []), C.Bytes(endian), *rest), t), shape, t)
+    assert C.decode_chunk(C.encode_chunk(x, codecs, t), shape, codecs, t).tobytes() == x.tobytes()
