@@ -135,7 +135,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     whole = nodes.join(found.withColumnRenamed("id", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
-    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    # settled, so that the join below stands by itself and Spark can split a component of very many nodes
+    least = checkpoint(whole.groupBy("component").agg(F.min("first").alias("component_id")))
     return rows.join(whole.join(least, "component").select("fp", "component_id"), "fp").select(
         "doc_id", "fp", "component_id"
     )
