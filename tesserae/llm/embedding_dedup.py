@@ -135,7 +135,8 @@ def near_duplicates(
     nodes = classes.join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select(
         "key", "first", "size", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "rep").alias("component")
     )
-    least = nodes.groupBy("component").agg(F.min("first").alias("component_id"))
+    # settled, so that the join below stands by itself and Spark can split a component of very many nodes
+    least = checkpoint(nodes.groupBy("component").agg(F.min("first").alias("component_id")))
     nodes = nodes.join(least, "component").select("key", (F.col("n") + F.col("size") - 1).alias("n_links"), "component_id")
     out = rows.select("vec_id", F.when(F.col("v").isNotNull(), key).alias("key")).join(nodes, "key", "left")
     component = F.coalesce("component_id", "vec_id")
