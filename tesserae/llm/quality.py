@@ -42,10 +42,14 @@ class _Hashes(dict):
 
 
 def _buckets(text: str | None, hashes: _Hashes, buckets: int = BUCKETS) -> np.ndarray:
-    """Buckets of the words and word pairs of a text, in lower case; runs of marks are words."""
+    """Buckets of the words and word pairs of a text, in lower case; runs of marks are words.
+
+    A word that follows itself makes the pair of a repeat, whatever the word.
+    """
     words = _TOKENS.findall((text or "").lower())
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     pairs = (h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(33)
+    pairs[h[:-1] == h[1:]] = 0
     return np.concatenate((h, pairs)).astype(np.int64) % buckets
 
 
