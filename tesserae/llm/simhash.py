@@ -21,6 +21,8 @@ SEED = 42
 #: Fingerprints in a tile, at least and at most; between them a tile holds a part of all that gives TILES tiles.
 TILE_ROWS = (2048, 262144)
 TILES = 24
+#: Tasks that compare pairs of tiles, at most.
+TASKS = 20000
 #: Comparisons held in memory at once.
 BLOCK = 1 << 20
 
@@ -85,7 +87,9 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     pairs = spark.createDataFrame(
         [(t, min(t, o) * n + max(t, o)) for t in range(n) for o in partners[t]], "tile int, pair long"
     )
-    return packed.join(pairs, "tile").groupBy("pair").applyInArrow(_comparer(radius), "a long, b long")
+    # little data and much work for each pair: as many tasks as pairs, within reason
+    met = packed.join(pairs, "tile").repartition(min(max(1, sum(map(len, partners)) // 2), TASKS), "pair")
+    return met.groupBy("pair").applyInArrow(_comparer(radius), "a long, b long")
 
 
 def _pack(table: pa.Table) -> pa.Table:
