@@ -1,7 +1,8 @@
 """Licence scan by a trained paragraph classifier; DataFrame and SQL functions only.
 
-A sparse logistic regression over word n-grams names the licence family of a paragraph. Its probabilities are
-calibrated on held-out sentences; a paragraph that no family is sure of is ``unknown``, and a family that is predicted
+A sparse logistic regression over word n-grams names the licence family of a passage, which is a line or a few lines in
+a row, so that a statement is seen whole however it is wrapped. Its probabilities are
+calibrated on held-out sentences; a passage that no family is sure of is ``unknown``, and a family that is predicted
 is confirmed by comparison with its templates. The model is trained here, by Spark, from the small table below, and
 applied inside the row: no shuffle and no Python on the texts.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import lru_cache
 from itertools import product
@@ -71,6 +73,8 @@ _BEFORE = ("", "This file is ", "Copyright (c) 2019 The Authors. ", "the end of
 _AFTER = ("", ".", " for details", ", see LICENSE.", " and others")
 #: Paragraphs without any of these words are not licence text.
 ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|\bgpl|\bcc0|\bcc[ -]by|public domain|permission is hereby|redistribution and use|creative commons|no part of this publication"
+#: The same over a whole text, where marks and line ends may stand between the words.
+_WRAPPED = ANCHOR.replace("[ -]", " ").replace(" ", "[^a-z0-9]+").replace(r"\b", "(?<![a-z0-9])")
 #: Families whose calibrated probability is lower, or whose templates cover less, are unknown.
 MIN_PROBABILITY, MIN_COVER = 0.5, 0.5
 #: Weights smaller than this are dropped after training.
@@ -155,7 +159,7 @@ def logits(model: Model, found: list[str]) -> list[float]:
 
 
 def _classified(p: Column, model: Model) -> Column:
-    """STRUCT<line, family, probability, cover> of one paragraph, ``p.line`` and ``p.grams``."""
+    """STRUCT<line, last, family, probability, cover> of one passage, ``p.line``, ``p.last`` and ``p.grams``."""
     table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
     start = F.array(*map(F.lit, model.intercepts))
     add = lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b), acc)
@@ -169,26 +173,63 @@ def _classified(p: Column, model: Model) -> Column:
         cover = F.array_max(F.transform(F.try_element_at(templates, first), lambda t: F.size(F.array_intersect(t, p["grams"])) / F.size(t)))
         sure = (F.array_max(s) / total >= MIN_PROBABILITY) & (F.coalesce(cover, F.lit(0.0)) >= MIN_COVER)
         family = F.when((first == "none") & (F.array_max(s) / total >= MIN_PROBABILITY), "none").when(sure, first).otherwise("unknown")
-        return F.struct(p["line"].alias("line"), family.alias("family"), F.round(F.array_max(s) / total, 6).alias("probability"), F.round(F.coalesce(cover, F.lit(0.0)), 6).alias("cover"))
+        return F.struct(p["line"].alias("line"), p["last"].alias("last"), family.alias("family"), F.round(F.array_max(s) / total, 6).alias("probability"), F.round(F.coalesce(cover, F.lit(0.0)), 6).alias("cover"))
 
     return F.transform(F.array(scores), decide)[0]
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _passages(lines: Column, longest: int) -> Column:
+    """STRUCT<line, last, words> of each line and of each run of lines without a blank one, up to the line with word ``longest``.
+
+    A line of comment marks alone has no words and is blank.
+    """
+
+    def starting(x: Column, i: Column) -> Column:
+        passage = lambda last, words: F.struct(i.alias("line"), last.alias("last"), words.alias("words"))
+        after = F.when(F.size(x["words"]).between(1, longest - 1), F.slice(lines, i + 2, longest)).otherwise(F.slice(lines, 1, 0))
+
+        def longer(out: Column, y: Column) -> Column:
+            held = F.element_at(out, -1)
+            more = (held["last"] == y["line"] - 1) & (F.size(held["words"]) < longest) & (F.size(y["words"]) > 0)
+            return F.when(more, F.concat(out, F.array(passage(y["line"], F.concat(held["words"], y["words"]))))).otherwise(out)
+
+        return F.aggregate(after, F.array(passage(i, x["words"])), longer)
+
+    return F.flatten(F.transform(lines, starting))
+
+
+def _apart(found: Column) -> Column:
+    """Passages that share no line, in order: known families before unknown, then by cover, fewer lines, first line."""
+    key = lambda r: F.struct((r["family"] == "unknown").alias("a"), F.when(r["family"] == "unknown", 0.0).otherwise(-r["cover"]).alias("b"), (r["last"] - r["line"]).alias("c"), r["line"].alias("d"), r.alias("r"))
+    free = lambda out, r: ~F.exists(out, lambda o: (o["line"] <= r["last"]) & (r["line"] <= o["last"]))
+    ranked = F.transform(F.array_sort(F.transform(found, key)), lambda k: k["r"])
+    pick = lambda out, r: F.when(free(out, r), F.concat(out, F.array(r))).otherwise(out)
+    return F.array_sort(_once(ranked, lambda every: F.aggregate(every, F.slice(every, 1, 0), pick)))
+
+
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, n_licenses, n_unknown, families, paragraphs)`` per row of ``docs``, over the whole text.
 
-    A paragraph is a line. ``paragraphs`` lists ``line:family:probability:cover`` of every paragraph that is licence
-    text, unknown families included; ``families`` the distinct known ones, sorted. A null or empty text has none. Rows
+    A paragraph is a line, or lines in a row without a blank one that are a licence statement together; of those that
+    share lines, the one that covers its template best is kept. ``paragraphs`` lists ``line:family:probability:cover``
+    of every paragraph that is licence text, by its first line, unknown families included; ``families`` the distinct
+    known ones, sorted. A null or empty text has none. Rows
     are independent: repeated rows give repeated results, extra columns are ignored, and nothing is shuffled.
     """
     model = model or trained(docs.sparkSession)
     text = F.col("text").cast("string")
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), x.alias("text")))
-    likely = F.filter(lines, lambda x: x["text"].rlike(ANCHOR))
-    read = F.transform(likely, lambda x: F.struct(x["line"].alias("line"), grams(normal_words(x["text"])).alias("grams")))
+    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), normal_words(x).alias("words")))
+    longest = max(len([g for g in t if " " not in g]) for ts in model.templates.values() for t in ts)
+    passages = F.filter(_once(lines, lambda every: _passages(every, longest)), lambda x: F.array_join(x["words"], " ").rlike(ANCHOR))
+    read = F.transform(passages, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), grams(x["words"]).alias("grams")))
     found = F.filter(F.transform(read, lambda p: _classified(p, model)), lambda r: r["family"] != "none")
-    none = F.array().cast("array<struct<line:int,family:string,probability:double,cover:double>>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(ANCHOR), found).otherwise(none).alias("found"))
+    none = F.array().cast("array<struct<line:int,last:int,family:string,probability:double,cover:double>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(_WRAPPED), _apart(found)).otherwise(none).alias("found"))
     known = F.filter("found", lambda r: r["family"] != "unknown")
     entry = lambda r: F.concat_ws(":", r["line"], r["family"], r["probability"].cast("string"), r["cover"].cast("string"))
     return rows.select(

@@ -109,6 +109,20 @@ def test_licences(spark, docs, no_docs):
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
 
 
+def test_wrapped_licences(spark):
+    model = license_scan.trained(spark)
+    gpl = "/*\n * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n */\nint x;"
+    mit = "# Permission is hereby granted, free of charge, to any person\n# obtaining a copy of this software and associated\n# documentation files\nimport os\n# SPDX-License-Identifier: Apache-2.0\nx = 1"
+    texts = [gpl, mit, "x\nlicensed under the Apache\nLicense, Version 2.0", "Licensed under the MIT license\nReleased under the MIT License", "licensed under the Apache\n\nLicense, Version 2.0"]
+    texts += ["\n".join("Use of this source code is governed by a BSD-style license".split())]
+    texts += ["Copyright-free text\n\nAll rights\n * reserved", "All rights\n# reserved"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [e.split(":")[:2] for e in r.paragraphs.split(",")] for r in license_scan.scan(frame, model).collect()}
+    assert got[0] == [["2", "GPL-3.0"]] and got[1] == [["0", "MIT"], ["4", "Apache-2.0"]] and got[2] == [["1", "Apache-2.0"]]
+    assert got[3] == [["0", "MIT"], ["1", "MIT"]] and ["0", "Apache-2.0"] not in got[4] and [f for _, f in got[5]] == ["BSD-3-Clause"]
+    assert got[6][-1] == ["2", "Proprietary"] and got[7] == [["0", "Proprietary"]]
+
+
 def test_licence_scores_equal_brute_force(spark):
     from pyspark.sql import functions as F
 
