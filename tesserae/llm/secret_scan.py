@@ -38,6 +38,12 @@ _NAME = re.compile(r"""([A-Za-z_$][\w$.\-]{0,127})["'`]?\]?[ \t]*\Z""", re.ASCII
 _QUOTED = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`((?:[^`\\]|\\.)*+)`""")
 _BARE = re.compile(r"""[^\s,;#"'`<>()\[\]{}+]+""")
 _REF = re.compile(r"\$?\{?([A-Za-z_$][\w$.]*)\}?\Z", re.ASCII)
+#: A word of an authorization scheme before its token, and a block of a private key, which may span lines.
+_SCHEME = re.compile(r"(?i)(?:bearer|basic)[ \t]+")
+_PEM = re.compile(r"""(?:["'`]{1,3}|[|>][-+]?)?\s*(-----BEGIN [A-Z ]*PRIVATE KEY-----[^-]*+(?:-(?!----)[^-]*+)*+-----END [A-Z ]*PRIVATE KEY-----)""")
+_PEM_HEAD = re.compile(r"\s*-----BEGIN [A-Z ]*PRIVATE KEY-----")
+#: Words that sentences have and passphrases seldom.
+_PROSE = re.compile(r"(?i)\b(?:a|an|and|are|be|can|cannot|do|enter|for|from|in|is|it|must|no|not|of|on|or|please|that|the|this|to|was|with|you|your)\b")
 _SPACE = re.compile(r"[ \t]*")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -50,13 +56,17 @@ def name_weight(name: str) -> float:
 
 
 def literal_score(value: str, quoted: bool) -> float:
-    """0 to 1: long, mixed, high-entropy values score high, placeholders and plain words low."""
-    if len(value) < 8 or PLACEHOLDER.match(value) or any(c.isspace() for c in value.strip()):
+    """0 to 1: long, mixed, high-entropy values and private keys score high, placeholders, plain words and sentences low."""
+    if _PEM_HEAD.match(value):
+        return 1.0
+    if len(value) < 8 or PLACEHOLDER.match(value):
         return 0.0
     n = len(value)
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = any(c.isdigit() for c in value) + any(c.islower() for c in value) + any(c.isupper() for c in value)
     score = 0.25 * (classes - 1) + 0.2 * min(entropy, 4) - 0.2
+    if any(c.isspace() for c in value.strip()):
+        score -= 0.6 if _PROSE.search(value) else 0.15
     return max(0.0, min(1.0, score + (0.2 if quoted else 0.0)))
 
 
@@ -71,9 +81,12 @@ def assignments(text: str) -> list[tuple[str, int, list[tuple]]]:
             continue
         at, terms = _SPACE.match(text, op.end()).end(), []
         while True:
-            if m := _QUOTED.match(text, at):
-                terms.append(("lit", m.start() + 1, m.end() - 1, True))
-            elif m := _BARE.match(text, at):
+            if (m := _QUOTED.match(text, at)) and (m.end() - m.start() > 2 or not _PEM.match(text, at)):
+                scheme = _SCHEME.match(text, m.start() + 1, m.end() - 1)
+                terms.append(("lit", scheme.end() if scheme else m.start() + 1, m.end() - 1, True))
+            elif m := _PEM.match(text, at):
+                terms.append(("lit", m.start(1), m.end(1), True))
+            elif m := ((scheme := _SCHEME.match(text, at)) and _BARE.match(text, scheme.end())) or _BARE.match(text, at):
                 ref = _REF.match(m[0])
                 terms.append(("ref", ref[1], m.start(), m.end()) if ref else ("lit", m.start(), m.end(), False))
             else:
