@@ -1,239 +1,331 @@
-"""Licence scan by a trained paragraph classifier; DataFrame and SQL functions only.
+"""Licence scan by a trained paragraph classifier; DataFrame and SQL functions only on the texts.
 
-A sparse logistic regression over word n-grams names the licence family of a passage, which is a line or a few lines in
-a row, so that a statement is seen whole however it is wrapped. Its probabilities are
-calibrated on held-out sentences; a passage that no family is sure of is ``unknown``, and a family that is predicted
-is confirmed by comparison with its templates. The model is trained here, by Spark, from the small table below, and
-applied inside the row: no shuffle and no Python on the texts.
+A paragraph is a run of lines between blank ones, however they are wrapped. Sparse logistic regressions over its word
+n-grams, one for each licence family and one for licence text as such, give calibrated probabilities; a family that is
+predicted is confirmed by comparison with its templates, and licence text without a confirmed family is ``unknown``.
+The models are fitted on the driver, once a process, to the small table of ``license_texts``; they are applied inside
+the row, to every paragraph, without a shuffle.
+
+Every feature of the models has a word of a small set of keys. A paragraph is read in windows around its key words; words
+beyond them can have no part in a score, so nothing else is skipped, and text without a key has the scores of an empty
+one, which is no licence text.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import lru_cache
-from itertools import product
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The labelled table: statements of each family, the templates; two classes besides have no template.
-TEMPLATES = {
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "under the terms of the Apache License 2.0",
-        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0",
-    ),
-    "MIT": (
-        "Released under the MIT License", "The MIT License (MIT)", "SPDX-License-Identifier: MIT", "Licensed under the MIT license",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    ),
-    "GPL-2.0": (
-        "licensed under the GNU General Public License, version 2", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991", "SPDX-License-Identifier: GPL-2.0",
-        "under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007", "SPDX-License-Identifier: GPL-3.0",
-        "under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version", "licensed under GPL v3",
-    ),
-    "LGPL-3.0": ("licensed under the GNU Lesser General Public License, version 3", "GNU LESSER GENERAL PUBLIC LICENSE Version 3", "SPDX-License-Identifier: LGPL-3.0"),
-    "AGPL-3.0": ("licensed under the GNU Affero General Public License, version 3", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3", "SPDX-License-Identifier: AGPL-3.0"),
-    "BSD-3-Clause": (
-        "Released under the BSD 3-Clause License", "SPDX-License-Identifier: BSD-3-Clause", "Use of this source code is governed by a BSD-style license",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    ),
-    "MPL-2.0": ("subject to the terms of the Mozilla Public License, v. 2.0", "Licensed under the Mozilla Public License Version 2.0", "SPDX-License-Identifier: MPL-2.0"),
-    "CC0-1.0": ("CC0 1.0 Universal", "dedicated to the public domain under CC0", "Released into the public domain under CC0 1.0", "SPDX-License-Identifier: CC0-1.0"),
-    "CC-BY-4.0": (
-        "Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "available under the CC-BY 4.0 license", "SPDX-License-Identifier: CC-BY-4.0",
-    ),
-    "CC-BY-SA-4.0": (
-        "Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "available under the CC-BY-SA 4.0 license", "SPDX-License-Identifier: CC-BY-SA-4.0",
-    ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "available under the CC-BY-NC 4.0 license", "SPDX-License-Identifier: CC-BY-NC-4.0",
-    ),
-    "Proprietary": ("All rights reserved", "Copyright 2020 Example Inc. All rights reserved.", "No part of this publication may be reproduced without permission", "Confidential and proprietary. All rights reserved."),
-}
-OTHER = {
-    "unknown": (
-        "Licensed under the Acme Public License", "Released under the Example Source License, version 1.1", "subject to the terms of the Foo End User License Agreement",
-        "distributed under the Bar Community License", "This work is licensed under its own licence", "see the LICENSE file for the licence of this work", "SPDX-License-Identifier: LicenseRef-Own",
-    ),
-    "none": (
-        "the driver lost his license last year", "they were licensed to sell fish in the market", "a copyright claim was heard in court", "the warranty of the car ran out in May",
-        "the licence fee pays for the radio", "the doctor is licensed in two states", "permission to land was granted at noon", "the apache helicopter flew over the mit campus",
-        "he holds a license for the restaurant", "the public domain of maths is large", "works of the creative commons club were shown",
-    ),
-}
-_BEFORE = ("", "This file is ", "Copyright (c) 2019 The Authors. ", "the end of it. ", "# ", "Unless noted, ")
-_AFTER = ("", ".", " for details", ", see LICENSE.", " and others")
-#: Paragraphs without any of these words are not licence text.
-ANCHOR = r"(?i)licen[cs]|copyright|rights reserved|\bgpl|\bcc0|\bcc[ -]by|public domain|permission is hereby|redistribution and use|creative commons|no part of this publication"
-#: The same over a whole text, where marks and line ends may stand between the words.
-_WRAPPED = ANCHOR.replace("[ -]", " ").replace(" ", "[^a-z0-9]+").replace(r"\b", "(?<![a-z0-9])")
-#: Families whose calibrated probability is lower, or whose templates cover less, are unknown.
-MIN_PROBABILITY, MIN_COVER = 0.5, 0.5
-#: Weights smaller than this are dropped after training.
-_SMALL = 1e-3
-
-
-def normal_words(paragraph: Column) -> Column:
-    """Lower-case words and numbers with inner dots; marks separate."""
-    text = F.regexp_replace(F.lower(paragraph), r"[^a-z0-9.]+|\.(?![0-9])|(?<![0-9])\.", " ")
-    return F.filter(F.split(text, " +"), lambda w: w != "")
-
-
-def grams(words: Column) -> Column:
-    """Distinct words, word pairs and triples."""
-    tie = lambda n: F.transform(
-        F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.array_join(F.slice(words, i, n), " "),
+from tesserae.llm.license_texts import BODIES, NAMES, NONE, UNKNOWN_BODIES, UNKNOWN_NAMES
+
+FAMILIES = tuple(BODIES)
+#: A family is named only where these are not: their texts hold its paragraphs, or name its version.
+ABSORBED_BY = {"BSD-2-Clause": ("BSD-3-Clause",), "GPL": ("GPL-2.0", "GPL-3.0")}
+#: Families whose calibrated probability is lower, or whose templates cover less, are not named.
+MIN_PROBABILITY, MIN_COVER = 0.5, 0.6
+#: Words of a window; each is half over the next, so that statements of up to half a window are seen whole.
+WINDOW = 96
+#: Slots of the tables of keys and features, a power of two. Of words, or of n-grams, that share a slot the most frequent is one, the others are not.
+SLOTS = 1 << 15
+#: The penalty on weights, the number of steps, and the weight below which a feature is dropped.
+PENALTY, STEPS, SMALL = 1e-4, 120, 0.02
+
+#: Sentences around a licence's name; every third is held out from the fit that the calibration uses.
+_FRAMES = (
+    "Licensed under the {}", "Released under the {}.", "SPDX-License-Identifier: {}", "This work is licensed under the {}.", "This project is available under {}", "under the terms of {}",
+    "distributed under the terms of the {} license", "License: {}", "covered by {}", "subject to the terms of the {}. See LICENSE for details.", "The code is provided under {}; see LICENSE",
+    "Copyright (c) 2019 The Authors. Licensed under {}.", "you may use this file under {}", "is free software under the {}", "{} licensed", "Published under {} by the group",
+    "this file is part of a library that is licensed under the {} and others", "The license of this package is {}.",
+)
+_DUAL = ("Dual {}/{}", "dual-licensed under {} or {}", "{} OR {}", "Licensed under either of {} or {} at your option", "SPDX-License-Identifier: ({} OR {})", "{} and {}")
+_STOP = frozenset(
+    "a about above all also an and any are as at be been but by can could do does for from had has have he her his how i if in into is it its may more must no not of on one only or other out shall she so some such "
+    "than that the their them then there these they this to under up use used was we were what when where which who will with without would you your here see get new first two year years day time people make made "
+    "der die das dem den und ein eine er sie es wir zu ist auf von la le les de un une et des en que el los las del y con por para example".split()
+) | frozenset(map(str, range(100)))
+_MARKS = re.compile("[^a-z0-9]+")
+
+
+# --- n-grams, on the driver and in Spark ---------------------------------------------------------------------------------
+
+
+def words_of(text: str) -> list[str]:
+    return [w for w in _MARKS.split(text.lower()) if w]
+
+
+def _signed(h: int) -> int:
+    return h - (1 << 64) if h >> 63 else h
+
+
+def hashes_of(words: list[str]) -> dict[int, list[str]]:
+    """Words, pairs and triples by Spark's ``xxhash64`` of their words."""
+    out = {}
+    for n in (1, 2, 3):
+        for i in range(len(words) - n + 1):
+            h = 42
+            for w in words[i : i + n]:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=h)
+            out[_signed(h)] = words[i : i + n]
+    return out
+
+
+_hashed = lru_cache(maxsize=8192)(lambda text: hashes_of(words_of(text)))
+
+
+def normal_words(text: Column) -> Column:
+    """Lower-case words and numbers; marks, the dots of versions too, separate."""
+    return F.array_remove(F.split(F.lower(text), _MARKS.pattern), "")
+
+
+def gram_hashes(words: Column) -> Column:
+    """Distinct hashes of words, pairs and triples; nulls beyond the end do not change a hash."""
+    return F.array_distinct(
+        F.concat(
+            F.transform(words, lambda w: F.xxhash64(w)),
+            F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1))),
+            F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))),
+        )
     )
-    return F.array_distinct(F.concat(words, tie(2), tie(3)))
+
+
+# --- training ------------------------------------------------------------------------------------------------------------
 
 
 @dataclass(frozen=True)
 class Model:
-    classes: tuple[str, ...]
+    """Sparse weights by n-gram hash, over the families and, last, licence text as such."""
+
     intercepts: tuple[float, ...]
-    weights: dict[str, list[float]]
-    temperature: float
-    templates: dict[str, list[list[str]]]
+    weights: dict[int, dict[int, float]]
+    #: Hashes of the words of which every feature has one.
+    keys: tuple[int, ...]
+    #: Temperatures of the families' scores and of the last one.
+    temperatures: tuple[float, float] = (1.0, 1.0)
+    templates: dict[str, tuple[tuple[int, ...], ...]] | None = None
 
 
-def labelled_rows(held_out: bool, last: bool | None = None) -> list[tuple[str, str]]:
-    """Statements in a few settings, of which a third is held out; of each class only the last statement, or all but it."""
+def labelled_rows() -> list[tuple[frozenset[str], bool, str, bool]]:
+    """(families, licence text or not, text, held out or not): names in sentences, two names, passages, cut passages."""
     out = []
-    for kind, statements in (TEMPLATES | OTHER).items():
-        part = statements if last is None else statements[-1:] if last else statements[:-1]
-        for s, (i, (a, b)) in product(part, enumerate(product(_BEFORE, _AFTER))):
-            if (i % 3 == 0) == held_out:
-                out.append((kind, a + s + b))
+    known = [(frozenset([k]), n) for k, names in NAMES.items() for n in names]
+    for i, (kinds, name) in enumerate([*known, *((frozenset(), n) for n in UNKNOWN_NAMES)]):
+        for j, frame in enumerate(_FRAMES):
+            if (i + j) % 3 != 1 or j < 3:
+                out.append((kinds, True, frame.format(name), j % 3 == 2 or kinds == frozenset() and i % 3 == 2))
+        if kinds and (" " in name or any(c.isdigit() for c in name)):
+            out += [(kinds, True, name, False), (kinds, True, f"our code is out under {name} now", False)]
+    for i, (a, b) in enumerate((i, (7 * i + 3) % len(known)) for i in range(2 * len(known))):
+        (x, m), (y, n) = known[a % len(known)], known[(b + i // len(known)) % len(known)]
+        if x != y:
+            out.append((x | y, True, _DUAL[i % len(_DUAL)].format(m, n), i % 3 == 2))
+    for who in ("the author", "Example GmbH", "Foo Ltd", "J. Doe"):
+        for line in ("{} (c) 2008. All rights reserved.", "All rights reserved by {}.", "{}: all rights reserved", "Copyright {}, all rights reserved.", "by {} All rights reserved"):
+            out.append((frozenset(["Proprietary"]), True, line.format(who), False))
+    for i, (kind, names) in enumerate(NAMES.items()):  # the names that are most often beside another one
+        for j, short in enumerate(x for x in ("MIT", "Apache-2.0") if x != kind):
+            for k, pair in enumerate(((short, names[0]), (names[0], short))):
+                out.append((frozenset([kind, short]), True, _DUAL[(i + j + k) % len(_DUAL)].format(*pair), i % 3 == 2))
+    for kind, passages in [*BODIES.items(), ("", UNKNOWN_BODIES)]:
+        kinds = frozenset([kind] if kind else [])
+        for i, p in enumerate(passages):
+            words = p.split()
+            held = not kind and i % 3 == 2
+            out.append((kinds, True, "Copyright (c) 2012, 2015 The Authors " + " ".join(words[:WINDOW]), held))
+            for j, at in enumerate(range(0, max(1, len(words) - WINDOW // 3), WINDOW // 2)):
+                out.append((kinds, True, " ".join(words[at : at + WINDOW]), held or j % 3 == 2))
+    out += [(frozenset(), False, "", False)] * 8
+    for i, p in enumerate(NONE):
+        out += [(frozenset(), False, p, i % 3 == 2), (frozenset(), False, f"{NONE[(5 * i + 2) % len(NONE)]}. {p}.", i % 3 == 2)]
     return out
 
 
-def _frame(spark: SparkSession, rows: list[tuple[str, str]]) -> DataFrame:
-    return spark.createDataFrame(rows, "kind string, text string").coalesce(1).select("kind", grams(normal_words(F.col("text"))).alias("grams"))
+def _fitted(rows: list) -> Model:
+    """Logistic regressions with a penalty on absolute weights, by accelerated proximal gradient steps."""
+    grams = [_hashed(text) for _, _, text, _ in rows]
+    most = lambda counts: sorted(counts.items(), key=lambda c: (-c[1], c[0]))
+    counts = Counter(w for g in grams for words in g.values() if len(words) == 1 for w in words if w not in _STOP)
+    keys: dict[int, tuple[str, int]] = {}
+    for word, n in most(counts):
+        if n > 1:
+            h = _signed(xxhash.xxh64_intdigest(word.encode(), seed=42))
+            keys.setdefault(h % SLOTS, (word, h))
+    known = {w for w, _ in keys.values()}
+    slots: dict[int, int] = {}
+    for h, n in most(Counter(h for g in grams for h, words in g.items() if not known.isdisjoint(words))):
+        if n > 1:
+            slots.setdefault(h % SLOTS, h)
+    features = {h: i for i, h in enumerate(slots.values())}
+    x = np.zeros((len(rows), len(features) + 1), np.float32)
+    x[:, -1] = 1
+    for i, g in enumerate(grams):
+        x[i, [features[h] for h in g if h in features]] = 1
+    y = np.array([[f in kinds for f in FAMILIES] + [licence] for kinds, licence, _, _ in rows], np.float32)
+    share = y.mean(0)  # both sides of a class weigh the same, as far as a row weighs eight at most
+    weigh = (np.minimum(np.where(y > 0, 0.5 / share, 0.5 / (1 - share)), 8) / len(rows)).astype(np.float32)
+    v = np.random.default_rng(0).normal(size=x.shape[1]).astype(np.float32)
+    for _ in range(12):
+        v = x.T @ (x @ v)
+        v /= np.linalg.norm(v)
+    step = 4.0 / (float(weigh.max()) * float(np.linalg.norm(x.T @ (x @ v))))
+    w = z = np.zeros((x.shape[1], y.shape[1]), np.float32)
+    t = 1.0
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ z, -30, 30)))
+        moved = z - step * (x.T @ (weigh * (p - y)))
+        moved[:-1] = np.sign(moved[:-1]) * np.maximum(np.abs(moved[:-1]) - step * PENALTY, 0)
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        z = moved + (t - 1) / after * (moved - w)
+        w, t = moved, after
+    kept = {h: {k: round(float(c), 3) for k, c in enumerate(w[i]) if abs(c) >= SMALL} for h, i in features.items()}
+    kept = {h: row for h, row in kept.items() if row}
+    used = {w for g in grams for h, words in g.items() if h in kept for w in words}
+    return Model(tuple(round(float(c), 3) for c in w[-1]), kept, tuple(h for word, h in keys.values() if word in used))
+
+
+def scores_of(model: Model, text: str) -> list[float]:
+    """Scores of one paragraph, for calibration and tests."""
+    out = list(model.intercepts)
+    for h in _hashed(text):
+        for k, w in model.weights.get(h, {}).items():
+            out[k] += w
+    return out
+
 
+@lru_cache(maxsize=1)
+def trained() -> Model:
+    """The model of all rows, with the temperatures that fit held-out rows under a model of the others."""
+    rows = labelled_rows()
+    part = _fitted([r for r in rows if not r[3]])
+    families, licence = [], []
+    for kinds, is_licence, text, held in rows:
+        if held:
+            *own, last = scores_of(part, text)
+            families += [(s, f in kinds) for f, s in zip(FAMILIES, own)]
+            licence.append((last, is_licence))
 
-def _fitted(spark: SparkSession, rows: list[tuple[str, str]]) -> Model:
-    """Multinomial logistic regression with an elastic net over the n-grams that occur twice."""
-    classes = (*TEMPLATES, *OTHER)
-    label = F.array_position(F.array(*map(F.lit, classes)), F.col("kind")).cast("double") - 1
-    train = _frame(spark, rows).withColumn("label", label).cache()
-    counter = CountVectorizer(inputCol="grams", outputCol="features", binary=True, minDF=2.0).fit(train)
-    fitted = LogisticRegression(regParam=0.003, elasticNetParam=0.5, maxIter=60, standardization=False).fit(counter.transform(train))
-    train.unpersist()
-    matrix = fitted.coefficientMatrix.toArray()
-    weights = {g: matrix[:, i].tolist() for i, g in enumerate(counter.vocabulary) if abs(matrix[:, i]).max() > _SMALL}
-    return Model(classes, tuple(fitted.interceptVector), weights, 1.0, {})
+    def temperature(found: list[tuple[float, bool]]) -> float:
+        s, y = np.array([s for s, _ in found]), np.array([1 if g else -1 for _, g in found])
+        return min((0.25 * 1.1**i for i in range(40)), key=lambda t: float(np.logaddexp(0, -y * s / t).sum()))
 
+    texts = {k: tuple(tuple(_hashed(t)) for t in (*NAMES.get(k, ()), *BODIES[k])) for k in FAMILIES}
+    return replace(_fitted(rows), temperatures=(temperature(families), temperature(licence)), templates=texts)
 
-@lru_cache(maxsize=1)
-def trained(spark: SparkSession) -> Model:
-    """The model of all statements, with the temperature that fits statements which a model has not seen."""
-    part = _fitted(spark, labelled_rows(False, last=False))
-    unseen = [(part.classes.index(r["kind"]), logits(part, r["grams"])) for r in _frame(spark, labelled_rows(True, last=True)).collect()]
 
-    def loss(t: float) -> float:
-        tops = [max(z) for _, z in unseen]
-        return sum(math.log(sum(math.exp((x - m) / t) for x in z)) - (z[k] - m) / t for (k, z), m in zip(unseen, tops))
+# --- scanning --------------------------------------------------------------------------------------------------------------
 
-    temperature = min((0.25 * 1.1**i for i in range(40)), key=loss)
-    texts = _frame(spark, [(k, t) for k, ts in TEMPLATES.items() for t in ts]).collect()
-    templates = {k: [r["grams"] for r in texts if r["kind"] == k] for k in TEMPLATES}
-    return replace(_fitted(spark, labelled_rows(False)), temperature=temperature, templates=templates)
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
+    return F.transform(F.array(value), use)[0]
 
-def logits(model: Model, found: list[str]) -> list[float]:
-    """Brute-force scores of one paragraph, for calibration and tests."""
-    out = list(model.intercepts)
-    for g in found:
-        for i, w in enumerate(model.weights.get(g, ())):
-            out[i] += w
-    return out
 
+def _constant(value: object, kind: str) -> Column:
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
-def _classified(p: Column, model: Model) -> Column:
-    """STRUCT<line, last, family, probability, cover> of one passage, ``p.line``, ``p.last`` and ``p.grams``."""
-    table = F.from_json(F.lit(json.dumps(model.weights)), "map<string,array<double>>")
-    start = F.array(*map(F.lit, model.intercepts))
-    add = lambda acc, g: F.coalesce(F.zip_with(acc, F.try_element_at(table, g), lambda a, b: a + b), acc)
-    scores = F.aggregate(p["grams"], start, add, lambda z: F.transform(z, lambda x: F.exp((x - F.array_max(z)) / model.temperature)))
-    names = F.array(*map(F.lit, model.classes))
-    templates = F.from_json(F.lit(json.dumps(model.templates)), "map<string,array<array<string>>>")
 
-    def decide(s: Column) -> Column:
-        total = F.aggregate(s, F.lit(0.0), lambda a, b: a + b)
-        first = names[F.array_position(s, F.array_max(s)).cast("int") - 1]
-        cover = F.array_max(F.transform(F.try_element_at(templates, first), lambda t: F.size(F.array_intersect(t, p["grams"])) / F.size(t)))
-        sure = (F.array_max(s) / total >= MIN_PROBABILITY) & (F.coalesce(cover, F.lit(0.0)) >= MIN_COVER)
-        family = F.when((first == "none") & (F.array_max(s) / total >= MIN_PROBABILITY), "none").when(sure, first).otherwise("unknown")
-        return F.struct(p["line"].alias("line"), p["last"].alias("last"), family.alias("family"), F.round(F.array_max(s) / total, 6).alias("probability"), F.round(F.coalesce(cover, F.lit(0.0)), 6).alias("cover"))
+def _table(hashes: Iterable[int]) -> list[int]:
+    out = [0] * SLOTS
+    for h in hashes:
+        out[h % SLOTS] = h
+    return out
 
-    return F.transform(F.array(scores), decide)[0]
 
+def _among(h: Column, table: Column) -> Column:
+    return F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")) == h
 
-def _once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` computed once, however often ``use`` names it."""
-    return F.transform(F.array(value), use)[0]
 
+def _windows(words: Column, model: Model) -> Column:
+    """The windows that hold key words, as arrays of words."""
+    half, keys = WINDOW // 2, _constant(_table(model.keys), "array<bigint>")
+    found = F.filter(F.transform(words, lambda w, i: F.when(_among(F.xxhash64(w), keys), i)), lambda i: i.isNotNull())
+    blocks = lambda f: F.array_distinct(F.transform(f, lambda i: (i / half).cast("int")))
+    around = lambda b: F.array_distinct(F.concat(b, F.transform(F.filter(b, lambda k: k > 0), lambda k: k - 1)))
+    cut = lambda b: F.transform(b, lambda k: F.slice(words, k * half + 1, WINDOW))
+    return _once(found, lambda f: F.when(F.size(f) == 0, F.slice(F.array(words), 1, 0)).when(F.size(words) > WINDOW, _once(blocks(f), lambda b: cut(around(b)))).otherwise(F.array(words)))
 
-def _passages(lines: Column, longest: int) -> Column:
-    """STRUCT<line, last, words> of each line and of each run of lines without a blank one, up to the line with word ``longest``.
 
-    A line of comment marks alone has no words and is blank.
-    """
+def _decided(grams: Column, model: Model) -> Column:
+    """ARRAY<STRUCT<family, probability, cover>> of one window: of licence text, confirmed families, else ``unknown``; of other text none."""
+    rows: list = [None] * SLOTS
+    for h, row in model.weights.items():
+        rows[h % SLOTS] = [{"k": k, "w": w} for k, w in row.items()]
+    heads, table = _constant(_table(model.weights), "array<bigint>"), _constant(rows, "array<array<struct<k:int,w:double>>>")
+    templates = _constant([model.templates[f] for f in FAMILIES], "array<array<array<bigint>>>")
+    hits = F.filter(grams, lambda h: _among(h, heads))
+    none = F.array().cast("array<struct<family:string,probability:double,cover:double>>")
+    last = len(FAMILIES)
 
-    def starting(x: Column, i: Column) -> Column:
-        passage = lambda last, words: F.struct(i.alias("line"), last.alias("last"), words.alias("words"))
-        after = F.when(F.size(x["words"]).between(1, longest - 1), F.slice(lines, i + 2, longest)).otherwise(F.slice(lines, 1, 0))
+    def decide(parts: Column) -> Column:
+        total = lambda k: F.aggregate(F.filter(parts, lambda p: p["k"] == k), F.lit(0.0), lambda a, p: a + p["w"])
+        chance = lambda s, t: 1 / (1 + F.exp(-s / t))
+        families = F.transform(F.array(*map(F.lit, model.intercepts[:last])), lambda b, k: F.struct(k.alias("k"), chance(b + total(k), model.temperatures[0]).alias("p")))
+        cover = lambda k: F.array_max(F.transform(templates[k], lambda t: F.size(F.array_intersect(t, grams)) / F.least(F.size(t), F.size(grams))))
+        entry = lambda f: F.struct(
+            F.array(*map(F.lit, FAMILIES))[f["k"]].alias("family"), F.round(f["p"], 6).alias("probability"), F.round(cover(f["k"]), 6).alias("cover")
+        )
+        found = F.filter(F.transform(F.filter(families, lambda f: f["p"] >= MIN_PROBABILITY), entry), lambda e: e["cover"] >= MIN_COVER)
+        licence = chance(model.intercepts[last] + total(F.lit(last)), model.temperatures[1])
+        unknown = F.array(F.struct(F.lit("unknown").alias("family"), F.round(licence, 6).alias("probability"), F.lit(0.0).alias("cover")))
+        sure = _once(found, lambda x: F.when(F.size(x) > 0, x).otherwise(unknown))
+        return F.when(licence >= MIN_PROBABILITY, sure).otherwise(none)
 
-        def longer(out: Column, y: Column) -> Column:
-            held = F.element_at(out, -1)
-            more = (held["last"] == y["line"] - 1) & (F.size(held["words"]) < longest) & (F.size(y["words"]) > 0)
-            return F.when(more, F.concat(out, F.array(passage(y["line"], F.concat(held["words"], y["words"]))))).otherwise(out)
+    found = _once(F.flatten(F.transform(hits, lambda h: F.get(table, h.bitwiseAND(F.lit(SLOTS - 1)).cast("int")))), decide)
+    return _once(hits, lambda x: F.when(F.size(x) > 0, found).otherwise(none))
 
-        return F.aggregate(after, F.array(passage(i, x["words"])), longer)
 
-    return F.flatten(F.transform(lines, starting))
+def _joined(found: Column) -> Column:
+    """One entry for each family of a paragraph's windows, the surest; ``unknown`` only by itself."""
+    known = F.filter(found, lambda e: e["family"] != "unknown")
+    best = lambda name: F.array_max(F.transform(F.filter(found, lambda e: e["family"] == name), lambda e: F.struct(e["cover"].alias("c"), e["probability"].alias("p"))))
+    names = F.array_sort(F.array_distinct(F.transform(F.when(F.size(known) > 0, known).otherwise(found), lambda e: e["family"])))
+    return F.transform(names, lambda n: _once(best(n), lambda b: F.struct(n.alias("family"), b["p"].alias("probability"), b["c"].alias("cover"))))
 
 
-def _apart(found: Column) -> Column:
-    """Passages that share no line, in order: known families before unknown, then by cover, fewer lines, first line."""
-    key = lambda r: F.struct((r["family"] == "unknown").alias("a"), F.when(r["family"] == "unknown", 0.0).otherwise(-r["cover"]).alias("b"), (r["last"] - r["line"]).alias("c"), r["line"].alias("d"), r.alias("r"))
-    free = lambda out, r: ~F.exists(out, lambda o: (o["line"] <= r["last"]) & (r["line"] <= o["last"]))
-    ranked = F.transform(F.array_sort(F.transform(found, key)), lambda k: k["r"])
-    pick = lambda out, r: F.when(free(out, r), F.concat(out, F.array(r))).otherwise(out)
-    return F.array_sort(_once(ranked, lambda every: F.aggregate(every, F.slice(every, 1, 0), pick)))
+#: Where a paragraph ends: before a line without a letter or digit.
+BLANK = r"(?<=\n)(?=[^\p{L}\p{N}\n]*+\n)"
 
 
 def scan(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """``(doc_id, n_licenses, n_unknown, families, paragraphs)`` per row of ``docs``, over the whole text.
 
-    A paragraph is a line, or lines in a row without a blank one that are a licence statement together; of those that
-    share lines, the one that covers its template best is kept. ``paragraphs`` lists ``line:family:probability:cover``
-    of every paragraph that is licence text, by its first line, unknown families included; ``families`` the distinct
-    known ones, sorted. A null or empty text has none. Rows
-    are independent: repeated rows give repeated results, extra columns are ignored, and nothing is shuffled.
+    ``paragraphs`` lists ``line:family:probability:cover`` of every licence paragraph, ``line`` its first line from 0;
+    a paragraph that names several families has an entry for each, one without a confirmed family is ``unknown``.
+    ``n_licenses`` and ``n_unknown`` count these entries. ``families`` has the distinct known ones, sorted, without
+    those that ``ABSORBED_BY`` others. A null or empty text has none. Rows are independent: repeated rows give repeated
+    results, extra columns are ignored, and nothing is shuffled.
     """
-    model = model or trained(docs.sparkSession)
+    model = model or trained()
     text = F.col("text").cast("string")
-    lines = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("line"), normal_words(x).alias("words")))
-    longest = max(len([g for g in t if " " not in g]) for ts in model.templates.values() for t in ts)
-    passages = F.filter(_once(lines, lambda every: _passages(every, longest)), lambda x: F.array_join(x["words"], " ").rlike(ANCHOR))
-    read = F.transform(passages, lambda x: F.struct(x["line"].alias("line"), x["last"].alias("last"), grams(x["words"]).alias("grams")))
-    found = F.filter(F.transform(read, lambda p: _classified(p, model)), lambda r: r["family"] != "none")
-    none = F.array().cast("array<struct<line:int,last:int,family:string,probability:double,cover:double>>")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.rlike(_WRAPPED), _apart(found)).otherwise(none).alias("found"))
-    known = F.filter("found", lambda r: r["family"] != "unknown")
-    entry = lambda r: F.concat_ws(":", r["line"], r["family"], r["probability"].cast("string"), r["cover"].cast("string"))
+    piece = lambda t: F.struct(t.alias("text"), (F.length(t) - F.length(F.replace(t, F.lit("\n")))).alias("lines"))
+    blank = lambda t: F.length(F.regexp_extract(t, r"^((?:[^\p{L}\p{N}\n]*+\n)*)", 1)) - F.length(F.replace(F.regexp_extract(t, r"^((?:[^\p{L}\p{N}\n]*+\n)*)", 1), F.lit("\n")))
+
+    def read(pieces: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            found = F.flatten(F.transform(_once(normal_words(p["text"]), lambda w: _windows(w, model)), lambda w: _once(gram_hashes(w), lambda g: _decided(g, model))))
+            line = F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda n, q: n + q["lines"]) + blank(p["text"])
+            return _once(found, lambda f: F.when(F.size(f) > 0, F.transform(_joined(f), lambda e: F.struct(line.alias("line"), *[e[c].alias(c) for c in ("family", "probability", "cover")]))))
+
+        return F.flatten(F.filter(F.transform(pieces, one), lambda x: x.isNotNull()))
+
+    found = _once(F.transform(F.split(text, BLANK), piece), read)
+    none = F.array().cast("array<struct<line:int,family:string,probability:double,cover:double>>")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(found, none).alias("found"))
+    known = F.filter("found", lambda e: e["family"] != "unknown")
+    entry = lambda e: F.concat_ws(":", e["line"], e["family"], e["probability"].cast("string"), e["cover"].cast("string"))
+    names = F.array_distinct(F.transform(known, lambda e: e["family"]))
+    for name, others in ABSORBED_BY.items():
+        names = _once(names, lambda n: F.when(F.arrays_overlap(n, F.array(*map(F.lit, others))), F.array_remove(n, name)).otherwise(n))
     return rows.select(
         "doc_id", F.size(known).cast("long").alias("n_licenses"), (F.size("found") - F.size(known)).cast("long").alias("n_unknown"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(known, lambda r: r["family"]))), ",").alias("families"),
-        F.array_join(F.transform("found", entry), ",").alias("paragraphs"),
+        F.array_join(F.array_sort(names), ",").alias("families"), F.array_join(F.transform("found", entry), ",").alias("paragraphs"),
     )
