@@ -99,9 +99,63 @@ def words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+def brute_mix(rows, hashes, shards=mixing.SHARDS, seed=mixing.SEED):
+    """Word by word: each source's words in the order of their rows' hashes, block by block, dealt to the shards."""
+    import xxhash
+
+    def spark_hash(*values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if abs(v) > 1 << 20 or isinstance(v, np.int64) else 4, "little", signed=True)
+            h = xxhash.xxh64_intdigest(raw, seed=h)
+        return h - (1 << 64) if h >> 63 else h
+
+    long = np.int64
+    by_source = defaultdict(list)
+    for row, hs in zip(rows, hashes):
+        by_source[row[2]].append((hs[0] % (1 << 64) >> 64 - mixing.SLICE_BITS, *hs, row))
+    order = sorted(by_source, key=lambda s: (s is None, s or ""))
+    size = [sum(len(words(r[-1][1])) for r in by_source[s]) for s in order]
+    goal = mixing.targets(size, [(5, 2, 1)[i % 3] for i in range(len(order))], 1.5 * sum(size))
+    plans = []
+    for n, t in zip(size, goal):
+        w = max(1, min(2048, -(-n // 400)))
+        b, e = -(-n // w), int(t // n) if n else 0
+        plans.append((w, b, e, min(b, round((t - e * n) / w)) if n else 0))
+    dealt = mixing.split_quotas([e * b + p for w, b, e, p in plans], shards, seed)
+    got = Counter()
+    for sid, (source, (w, b, e, p)) in enumerate(zip(order, plans)):
+        stream = [(i, k) for i, r in enumerate(sorted(by_source[source], key=lambda r: r[:3])) for k in range(len(words(r[-1][1])))]
+        units = [(epoch, block) for epoch in range(e) for block in range(b)]
+        units += [(e, k) for k in sorted(range(b), key=lambda k: (spark_hash(seed, e, long(k)), k))[:p]]
+        units.sort(key=lambda u: (spark_hash(seed, "unit", u[0], long(u[1])), *u))
+        ranked = [r[-1] for r in sorted(by_source[source], key=lambda r: r[:3])]
+        shard_of = np.repeat(np.arange(shards), dealt[sid])
+        for (epoch, block), shard in zip(units, shard_of):
+            for i, _ in stream[block * w : (block + 1) * w]:
+                got[sid, i, int(shard)] += 1
+        for i, row in enumerate(ranked):
+            found = {s: got[sid, i, s] for s in range(shards) if got[sid, i, s]}
+            yield row[0], len(words(row[1])), size[sid], goal[sid], sum(found.values()), ",".join(f"{s}:{n}" for s, n in found.items())
+
+
+def test_mix_against_brute_force(spark, docs):
+    """Every column of every row, with repeated rows, and the same id and text in two sources."""
+    extra = spark.createDataFrame([(1, "a b c d", None, "s1", 7)] * 3 + [(1, "a b c d", None, "s2", 7), (1, None, "a b c d", "s2", 7)], docs.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    table = docs.unionByName(extra, allowMissingColumns=True)
+    rows = table.select("doc_id", "text", "source", *mixing.row_hashes(table)).collect()
+    want = sorted(brute_mix([tuple(r)[:3] for r in rows], [tuple(r)[3:] for r in rows]), key=str)
+    got = sorted(map(tuple, mixing.mix(table.repartition(5))[0].collect()), key=str)
+    assert [g[:3] + g[4:] for g in got] == [w[:3] + w[4:] for w in want]
+    assert [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    plan = mixing.mix(table)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "dealt" in plan  # the splitting tree decides the result
+
+
 def test_mix_keeps_its_promises(docs, no_docs):
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
     got = mixing.mix(docs)[0].collect()
+    assert mixing.mix(docs)[0].columns == ["doc_id", "size", "source_size", "target", "taken", "shards"]
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix(docs.repartition(7))[0].collect()), key=str)
     assert sorted(((r.doc_id, r["size"]) for r in got), key=str) == sorted(((i, len(words(t))) for i, t, _ in rows), key=str)
     source = {(i, len(words(t))): s for i, t, s in rows}
@@ -136,3 +190,31 @@ def test_mixture_puts_texts_back_together(spark):
     for r in rows:
         by_shard[r.shard] += len(words(r.text))
     assert len(by_shard) == mixing.SHARDS and max(by_shard.values()) < 1.3 * min(by_shard.values()) + 20
+
+
+def test_mixture_delivers_what_is_taken(spark, tmp_path):
+    """Rows alike but for their source, repeated rows, long texts and own columns of the mixture's names."""
+    long = "w x\ty " * 9000
+    rows = [(1, "a b c d", "s1"), (1, "a b c d", "s2"), (1, "a b c d", "s2"), (2, long, "s1"), (3, " lead and tail \n", "s2"), (None, long + "z", None), (4, None, "s1"), (5, "", None)]
+    docs = spark.createDataFrame([(*r, i, "mine", "p") for i, r in enumerate(rows[:2])] + [(*rows[2], 1, "mine", "p")] + [(*r, i + 9, "mine", "p") for i, r in enumerate(rows[3:])], "doc_id long, text string, source string, n long, shard string, position string")
+    taken, delivered = Counter(), Counter()
+    for r in mixing.mix(docs)[0].collect():
+        taken[r.doc_id] += r.taken
+        assert r.taken == sum(int(s.split(":")[1]) for s in r.shards.split(",") if s)
+    mixed = mixing.mixture(docs)
+    assert mixed.columns == [*docs.columns, "_shard", "_position", "epoch", "first"]
+    out = mixed.collect()
+    by_source, target = Counter(), {}
+    for r in out:
+        delivered[r.doc_id] += len(words(r.text))
+        by_source[r.source] += len(words(r.text))
+        assert (r["shard"], r["position"]) == ("mine", "p") and r.source == {0: "s1", 1: "s2", 9: "s1", 10: "s2", 11: None}[r.n]
+    assert delivered == +taken
+    for r in mixing.mix(docs)[0].collect():
+        target[r.source_size] = r.target
+    assert sorted(by_source.values()) == pytest.approx(sorted(target.values()), rel=0.01, abs=2)
+    whole = "".join(r.text for r in sorted((r for r in out if r.doc_id == 2 and r.epoch == 0), key=lambda r: r["first"]))
+    assert whole == long
+    mixing.write_shards(mixed, str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == len(out) and {r["shard"] for r in back.select("shard").distinct().collect()} == {"mine"}
