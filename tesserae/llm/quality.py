@@ -1,15 +1,19 @@
 """Quality classifier by importance resampling.
 
 Two bag-of-hashed-n-gram models, of the target text (documents labelled good) and of all raw text, give each document
-the logarithm of its importance weight. The sample is drawn without replacement by Gumbel top-k: the k documents whose
-weight plus Gumbel noise is largest stay.
+the logarithm of its importance weight: the mean log ratio of its n-grams, as if it had ``TEMPER`` of them, so that
+long documents do not drown the noise. The sample is drawn without replacement by Gumbel top-k: the k documents whose
+weight plus Gumbel noise is largest stay. k is a parameter; by default it is the number of documents that are expected
+to be good, by a logistic regression of the labels on the weight, and a share ``EXTRA`` of all beyond them, which the noise
+draws from the others in proportion to their weights.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from zlib import crc32
 
 import numpy as np
@@ -17,15 +21,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint, kth_largest
+from tesserae.llm.common import checkpoint, kth_largest, small_frame
 
 BUCKETS = 1 << 14
 SMOOTHING = 1.0
 SEED = 20
-#: Labelled documents of each class that fit the target model and the cut, at most: those of the smallest hashes.
+#: Labelled documents of each class that fit the target model and the regression, at most: those of the smallest hashes.
 MAX_LABELLED = 20000
-#: The sample takes as many documents as weigh at least the cut less this: noise then rarely costs a good one its place.
-MARGIN = 2.0
+#: N-grams that a document weighs as, and the share of all documents that is drawn beyond the expected good ones.
+TEMPER, EXTRA = 10.0, 0.01
 #: Scores are compared as whole millionths, so that ties are exact.
 UNIT = 1_000_000
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
@@ -55,13 +59,14 @@ def _buckets(text: str | None, hashes: _Hashes, buckets: int = BUCKETS) -> np.nd
 
 @dataclass
 class Model:
-    """Log ratios by bucket, and the log weight above which a document counts as good."""
+    """Log ratios by bucket, and the labelled ids, by whether they are good, that a regression may use."""
 
     ratios: np.ndarray
-    cut: float = 0.0
+    labelled: dict[int, bool] = field(default_factory=dict)
 
     def weight(self, text: str | None, hashes: _Hashes) -> float:
-        return float(self.ratios[_buckets(text, hashes, len(self.ratios))].sum())
+        found = _buckets(text, hashes, len(self.ratios))
+        return TEMPER * float(self.ratios[found].mean()) if len(found) else 0.0
 
 
 def _sampled(labels: DataFrame, quality: int) -> set[int]:
@@ -70,10 +75,10 @@ def _sampled(labels: DataFrame, quality: int) -> set[int]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Model:
-    """Count n-grams of all rows of ``docs`` and of the labelled good ones, in one scan, then set the cut.
+    """Count n-grams of all rows of ``docs`` and of the labelled good ones, in one scan.
 
     Tasks add up their own counts; the driver gets two numbers for each bucket. Without a good label all log weights
-    are zero. The cut separates the labelled sample best, the lowest such.
+    are zero. An id that is labelled both ways counts as good.
     """
     good, bad = _sampled(labels, 1), _sampled(labels, 0)
 
@@ -109,27 +114,19 @@ def fit(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> Model:
     for bucket, r, t in counts:
         raw[bucket], target[bucket] = r, t
     log = lambda x: np.log(x + SMOOTHING) - np.log(x.sum() + SMOOTHING * buckets)
-    model = Model(log(target) - log(raw) if target.sum() else np.zeros(buckets))
-    ids = sorted(good | bad)
-    if target.sum() and bad:
-        labelled = docs.select(*columns).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in ids], "doc_id long")), "doc_id")
-        model.cut = _cut([(w, i in good) for i, w in weights(labelled, model).collect()])
-    return model
-
-
-def _cut(scored: list[tuple[float, bool]]) -> float:
-    """The cut with the best sum of both classes' shares on their own side; the middle of the gap below it."""
-    scored = sorted(scored, reverse=True)
-    n_good = max(1, sum(g for _, g in scored))
-    n_bad = max(1, len(scored) - sum(g for _, g in scored))
-    best, cut, good, bad = -1.0, 0.0, 0, 0
-    for i, (w, is_good) in enumerate(scored):
-        good, bad = good + is_good, bad + (not is_good)
-        below = scored[i + 1][0] if i + 1 < len(scored) else w
-        if below != w or i + 1 == len(scored):
-            if (gain := good / n_good - bad / n_bad) >= best:
-                best, cut = gain, (w + below) / 2 if below > w - 2 else w - 1
-    return cut
+    ids = {i: True for i in good} | {i: False for i in bad - good}
+    return Model(log(target) - log(raw) if target.sum() else np.zeros(buckets), ids if target.sum() and bad - good else {})
+
+
+def _regression(scored: list[tuple[float, bool]]) -> tuple[float, float]:
+    """Slope and intercept of the log odds of being good, by Newton steps; a small penalty on the slope keeps it finite."""
+    x, y = np.array([[w, 1.0] for w, _ in scored]), np.array([float(g) for _, g in scored])
+    b, ridge = np.zeros(2), np.diag([1e-2, 1e-6])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ b)
+        b += np.clip(step, -2, 2)
+    return float(b[0]), float(b[1])
 
 
 def weights(docs: DataFrame, model: Model) -> DataFrame:
@@ -144,46 +141,67 @@ def weights(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, log_weight double")
 
 
-def gumbel(doc_id: Column, seed: int = SEED) -> Column:
+def gumbel(doc_id: Column, seed: int | Column = SEED) -> Column:
     """Gumbel noise that is a function of the document and the seed."""
     u = (F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(seed)), 12) + 0.5) / float(1 << 52)
     return -F.log(-F.log(u))
 
 
-def _key(weight: Column, doc_id: Column, seed: int) -> Column:
+def key(weight: Column, doc_id: Column, seed: int | Column = SEED) -> Column:
+    """The weight with noise, in whole millionths."""
     return F.floor((weight + gumbel(doc_id, seed)) * UNIT).cast("long")
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED, model: Model | None = None) -> DataFrame:
     """``(doc_id, log_weight, score, kept)`` per row of ``docs``.
 
-    ``k`` rows stay: by default as many as weigh at least the model's cut less ``MARGIN``. Rows that tie with the last one stay too,
-    so copies of a row share its fate. A null text is an empty one; a null doc_id has the noise of a null. Where
-    there are no rows the result is empty.
+    ``k`` rows stay: by default those expected to be good and ``EXTRA`` of all; all of them where the labels lack a class.
+    Rows that tie with the last one stay too, so copies of a row, with its id, share its fate. A null text is an empty one,
+    which weighs 0; a null doc_id has the noise of a null. Where there are no rows the result is empty. Labels that repeat
+    or have nulls count once or not at all.
     """
     model = model or fit(docs, labels)
-    rows = checkpoint(weights(docs, model).withColumn("key", _key(F.col("log_weight"), F.col("doc_id"), seed)))
+    rows = checkpoint(weights(docs, model).withColumn("key", key(F.col("log_weight"), F.col("doc_id"), seed)))
     last = _last(rows, model, k)
     return rows.select("doc_id", "log_weight", (F.col("key") / UNIT).alias("score"), (F.col("key") >= last).alias("kept"))
 
 
 def _last(rows: DataFrame, model: Model, k: int | None) -> int:
+    """The least key that stays, of rows ``(doc_id, log_weight, key)``."""
     if k is None:
-        k = rows.where(F.col("log_weight") >= model.cut - MARGIN).count()
+        k = expected(rows, model)
     last = kth_largest(rows, "key", k)
     return (-(1 << 63) if k else (1 << 63) - 1) if last is None else last
 
 
+def expected(rows: DataFrame, model: Model) -> int:
+    """How many of the rows are expected to be good, and the extra share."""
+    if not model.labelled:
+        return rows.count()
+    ids = small_frame(rows.sparkSession, sorted(model.labelled.items()), "doc_id long, good boolean")
+    # one row for each labelled id, of which there are at most twice MAX_LABELLED
+    sample = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "good").agg(F.max("log_weight").alias("w")).orderBy("doc_id").collect()
+    if len({r.good for r in sample}) < 2:
+        return rows.count()
+    slope, start = _regression([(r.w, r.good) for r in sample])
+    n, good = rows.agg(F.count("*"), F.sum(1 / (1 + F.exp(-(F.col("log_weight") * slope + start))))).first()
+    return min(n, round(good or 0) + math.ceil(EXTRA * n))
+
+
 def select(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int = SEED) -> DataFrame:
-    """The rows of ``docs`` that ``resample`` keeps, all columns unchanged, without a shuffle of the texts."""
+    """The rows of ``docs`` that ``resample`` keeps, all columns unchanged, without a shuffle of the texts.
+
+    Rows and their keys are checkpointed, so texts are read twice: to count, and to weigh.
+    """
     model = fit(docs, labels)
-    key = lambda w, i: _key(w, i, seed)
-    rows = checkpoint(weights(docs, model).select("log_weight", key(F.col("log_weight"), F.col("doc_id")).alias("key")))
-    last = _last(rows, model, k)
 
     @F.arrow_udf("double")
     def weight(texts: pa.Array) -> pa.Array:
         hashes = _Hashes()
         return pa.array([model.weight(t, hashes) for t in texts.to_pylist()], pa.float64())
 
-    return docs.where(key(weight(F.col("text").cast("string")), F.col("doc_id").cast("long")) >= last)
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    rows = docs.select(row, F.col("doc_id").cast("long").alias("doc_id"), weight(F.col("text").cast("string")).alias("log_weight"))
+    rows = checkpoint(rows.withColumn("key", key(F.col("log_weight"), F.col("doc_id"), seed)))
+    last = _last(rows.select("doc_id", "log_weight", "key"), model, k)
+    return rows.where(F.col("key") >= last).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
