@@ -1,28 +1,36 @@
-"""Benchmark decontamination with one Aho-Corasick automaton.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised questions and answers.
 
-The windows of all benchmark items (questions and answers, normalised to words) are the automaton's patterns. Each
-document is normalised once, scanned once, and the matches are mapped back to word numbers and to offsets in the
-original text.
+Items are words, and words are numbers of two signs each. The automaton's patterns are every item's words in blocks of
+half a window, side by side, so a window anywhere in an item holds a whole block, and the automaton grows with the
+benchmark's words and not with its windows. A document is normalised and scanned once; a block that is met is followed
+to both sides for as long as document and item agree, and where they agree on a window or more every word is hit. Hits are mapped
+back to word numbers and to offsets in the original text.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+import uuid
+from array import array
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import map_rows, sha256_hex
+from tesserae.llm.common import checkpoint, map_rows, sha256_hex
 
 WINDOW = 13
 #: A document is contaminated where hit words are at least this share (one in so many) of its words.
 ONE_IN = 20
-#: Characters of benchmark text that the driver gathers and tasks hold, at most; a larger benchmark is refused.
-MAX_BENCHMARK_CHARS = 256 << 20
+#: Bytes of benchmark text for one automaton, which takes about ten times as much memory in a Python worker (measured:
+#: 50 MB for 5 MB). A larger benchmark is scanned in parts, whose results are merged.
+MAX_AUTOMATON_BYTES = 48 << 20
 
 # Word characters are 0-9, A-Z, a-z and everything beyond ASCII; A-Z count as a-z.
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -38,42 +46,79 @@ def words_of(text: bytes | None) -> list[bytes]:
     return [w for w in normalised(text or b"") if w]
 
 
-def windows(words: list[bytes], size: int = WINDOW) -> set[bytes]:
-    """The item's windows; fewer words than a window are one window, no words none."""
-    return {b" ".join(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
-
-
 class Scanner:
-    """The automaton, built once in each Python worker."""
-
-    def __init__(self, items: list[tuple[int, bytes]], size: int = WINDOW):
-        patterns: dict[bytes, set[int]] = {}
+    """The automaton of some items, and their words to follow a match in."""
+
+    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
+        self.size, self.block = size, (size + 1) // 2
+        self.numbers: dict[bytes, int] = {}
+        self.ids: list[str] = []
+        number = lambda w: self.numbers.setdefault(w, len(self.numbers) + 1)
+        self.words, starts = array("i", [-1]), []
         for item_id, text in items:
-            for window in windows(words_of(text), size):
-                patterns.setdefault(window, set()).add(item_id)
+            if words := words_of(text):
+                self.ids.append(item_id)
+                starts.append(len(self.words))
+                self.words.extend(map(number, words))
+                self.words.append(-1)  # the next item's words do not follow
+        self.starts = np.array(starts, np.int64)
+        base = math.isqrt(len(self.numbers)) + 1
+        #: Two signs for each word, the first and the second from different ranges, so that matches start at words.
+        self.signs = {w: chr(1 + n // base) + chr(2 + base + n % base) for w, n in self.numbers.items()}
+        signs = [""] * (len(self.numbers) + 1)
+        for w, n in self.numbers.items():
+            signs[n] = self.signs[w]
+        places: dict[str, list[int]] = {}
+        for at, after in zip(starts, [*starts[1:], len(self.words)]):
+            end = after - 1
+            step = self.block if end - at >= size else end - at
+            for k in range(at, end - step + 1, step):
+                places.setdefault("".join(signs[n] for n in self.words[k : k + step]), []).append(k)
         self.automaton = ahocorasick.Automaton()
-        for window, ids in patterns.items():
-            whole = f" {window.decode('latin-1')} "
-            self.automaton.add_word(whole, (len(whole), window.count(b" ") + 1, ids))
-        if patterns:
+        for pattern, ks in places.items():
+            self.automaton.add_word(pattern, (len(pattern) // 2, ks))
+        if places:
             self.automaton.make_automaton()
 
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are inside an occurrence of a window, and the items whose windows occur."""
         hit, found = np.zeros(len(words), bool), set()
         if not len(self.automaton) or not words:
             return hit, found
-        text = f" {b' '.join(words).decode('latin-1')} "
-        starts = None
-        for end, (length, n, ids) in self.automaton.iter(text):
-            if starts is None:
-                starts = np.concatenate(([0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)))
-            at = int(np.searchsorted(starts, end - length + 1))
-            hit[at : at + n] = True
-            found |= ids
+        numbers, followed = None, {}
+        for end, (n, places) in self.automaton.iter("".join(map(self.signs.get, words, repeat("\0\0")))):
+            if numbers is None:
+                numbers = list(map(self.numbers.get, words, repeat(0)))
+            first, last = (end + 1) // 2 - n, (end + 1) // 2
+            for k in places:
+                shift = k - first
+                if followed.get(shift, -1) >= last:
+                    continue  # this stretch of the item has been followed
+                low, high = first, last
+                while low and numbers[low - 1] == self.words[low - 1 + shift]:
+                    low -= 1
+                while high < len(numbers) and numbers[high] == self.words[high + shift]:
+                    high += 1
+                followed[shift] = high
+                item = int(np.searchsorted(self.starts, k, "right")) - 1
+                whole = (self.starts[item + 1] if item + 1 < len(self.starts) else len(self.words)) - self.starts[item] - 1
+                if high - low >= min(self.size, whole):
+                    hit[low:high] = True
+                    found.add(self.ids[item])
         return hit, found
 
 
+_built: dict[str, Scanner] = {}
+
+
+def _scanner(name: str, items: Broadcast, size: int) -> Scanner:
+    """The scanner of broadcast items, built once in each Python worker, which holds the last one only."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = Scanner(items.value, size)
+    return _built[name]
+
+
 def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     """Hit runs of words as offsets in the original text (code points, end exclusive)."""
     out: list[tuple[int, int]] = []
@@ -86,50 +131,121 @@ def spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _items(benchmark: DataFrame) -> list[tuple[int, bytes]]:
-    sound = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    size = sound.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_BENCHMARK_CHARS:
-        raise ValueError(f"the benchmark has {size} bytes of text; one automaton takes {MAX_BENCHMARK_CHARS} at most: split it")
-    rows = sound.select(F.col("item_id").cast("long"), F.col("text").cast("string").cast("binary")).distinct().collect()
-    return sorted((r[0], bytes(r[1])) for r in rows)
+def _sound(benchmark: DataFrame) -> DataFrame:
+    return benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
+
+
+def _parts(benchmark: DataFrame) -> int:
+    """Automata that the benchmark needs: its size is checked before any of it is gathered."""
+    size = _sound(benchmark).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-int(size) // MAX_AUTOMATON_BYTES))
+
+
+def _broadcast(benchmark: DataFrame, part: int, parts: int) -> tuple[str, Broadcast]:
+    rows = _sound(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
+    rows = rows.select("item_id", F.col("text").cast("binary")).distinct().collect()
+    return uuid.uuid4().hex, benchmark.sparkSession.sparkContext.broadcast(sorted((r[0], bytes(r[1])) for r in rows))
+
+
+def _hashes() -> list[Column]:
+    """128 bits of the text."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("h"), F.xxhash64(F.lit(9), F.reverse(text)).alias("g")]
+
+
+def _met(docs: DataFrame, benchmark: DataFrame, parts: int, size: int) -> DataFrame:
+    """``(h, g, runs, ids)`` of every distinct text with a hit, by several automata, one after another.
+
+    ``runs`` are the words hit, ``ids`` the items, of each automaton. A task holds one automaton; the parts are jobs of their own.
+    """
+    out = None
+    for part in range(parts):
+        name, items = _broadcast(benchmark, part, parts)
+
+        def rows(batches: Iterator[tuple], name: str = name, items: Broadcast = items) -> Iterator[tuple]:
+            scanner = _scanner(name, items, size)
+            for h, g, text in batches:
+                hit, found = scanner.scan(words_of(text))
+                if found:
+                    edges = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0])))).tolist()
+                    yield h, g, edges, sorted(found)
+
+        texts = docs.where(F.col("text").isNotNull())
+        hits = map_rows(texts, [*_hashes(), F.col("text").cast("string").cast("binary")], rows, "h long, g long, edges array<long>, ids array<string>")
+        # copies of a text have the same hits: one for each partition goes on
+        hits = checkpoint(hits.groupBy("h", "g").agg(F.first("edges").alias("edges"), F.first("ids").alias("ids")))
+        out = hits if out is None else out.unionByName(hits)
+        items.destroy()
+    return out.groupBy("h", "g").agg(F.collect_list("edges").alias("runs"), F.array_distinct(F.flatten(F.collect_list("ids"))).alias("ids"))
+
+
+def _row(doc_id: int | None, text: bytes | None, words: list[bytes], hit: np.ndarray, found: Iterable[str]) -> tuple:
+    n, ids = int(hit.sum()), sorted(found)
+    where = ",".join(f"{a}:{b}" for a, b in spans(text.decode(errors="replace"), hit)) if n else ""
+    return doc_id, len(words), n, len(ids), sha256_hex(",".join(ids)), _too_much(n, len(words)), where
+
+
+def _too_much(hit: int, words: int) -> bool:
+    return hit > 0 and ONE_IN * hit >= words
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
     """``(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans)`` per row of ``docs``.
 
-    A null or empty text has no words and is clean. Benchmark rows without an id or a text are ignored, and rows that
-    repeat an id are one item with the windows of all of them. Rows are independent: repeated rows and extra columns
-    change nothing. The benchmark's size is checked before it is gathered; the documents are scanned without a shuffle.
+    A null or empty text has no words and is clean. Benchmark rows without an id or a text are ignored; ids are strings
+    or numbers, and rows that repeat an id are one item with the windows of all of them. Rows of ``docs`` are
+    independent: repeated rows and extra columns change nothing. With one automaton the documents are scanned without a shuffle; with
+    more, texts meet their merged hits by hash.
     """
-    items = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
-
-    def rows(batches: Iterator[tuple]) -> Iterator[tuple]:
-        scanner = Scanner(items.value, size)
-        for doc_id, text in batches:
+    parts = _parts(benchmark)
+    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")]
+    if parts == 1:
+        name, items = _broadcast(benchmark, 0, 1)
+
+        def rows(batches: Iterator[tuple]) -> Iterator[tuple]:
+            scanner = _scanner(name, items, size)
+            for doc_id, text in batches:
+                words = words_of(text)
+                yield _row(doc_id, text, words, *scanner.scan(words))
+
+        return map_rows(docs, columns, rows, schema)
+
+    def merged(batches: Iterator[tuple]) -> Iterator[tuple]:
+        for doc_id, text, runs, ids in batches:
             words = words_of(text)
-            hit, found = scanner.scan(words)
-            n = int(hit.sum())
-            where = ",".join(f"{a}:{b}" for a, b in spans(text.decode(errors="replace"), hit)) if n else ""
-            yield doc_id, len(words), n, len(found), sha256_hex(",".join(sorted(map(str, found)))), n > 0 and ONE_IN * n >= len(words), where
+            hit = np.zeros(len(words), bool)
+            for edges in runs or ():
+                for low, high in zip(edges[::2], edges[1::2]):
+                    hit[low:high] = True
+            yield _row(doc_id, text, words, hit, ids or ())
 
-    columns = [F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")]
-    return map_rows(docs, columns, rows, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string")
+    joined = docs.select(*columns, *_hashes()).join(_met(docs, benchmark, parts, size), ["h", "g"], "left")
+    return map_rows(joined, ["doc_id", "text", "runs", "ids"], merged, schema)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns unchanged, without a shuffle."""
-    items = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
+    """The rows of ``docs`` that are not contaminated, all columns unchanged; without a shuffle where one automaton is enough."""
+    parts = _parts(benchmark)
+    if parts == 1:
+        name, items = _broadcast(benchmark, 0, 1)
 
-    @F.arrow_udf("boolean")
-    def contaminated(texts: pa.Array) -> pa.Array:
-        scanner = Scanner(items.value, size)
+        @F.arrow_udf("boolean")
+        def contaminated(texts: pa.Array) -> pa.Array:
+            scanner = _scanner(name, items, size)
+            words = map(words_of, texts.to_pylist())
+            return pa.array([_too_much(int(scanner.scan(w)[0].sum()), len(w)) for w in words], pa.bool_())
 
-        def one(text: bytes | None) -> bool:
-            words = words_of(text)
-            n = int(scanner.scan(words)[0].sum())
-            return n > 0 and ONE_IN * n >= len(words)
-
-        return pa.array([one(t) for t in texts.to_pylist()], pa.bool_())
+        return docs.where(~contaminated(F.col("text").cast("string").cast("binary")))
 
-    return docs.where(~contaminated(F.col("text").cast("string").cast("binary")))
+    @F.arrow_udf("boolean")
+    def over(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        out = []
+        for text, edges in zip(texts.to_pylist(), runs.to_pylist()):
+            hit = {k for e in edges or () for low, high in zip(e[::2], e[1::2]) for k in range(low, high)}
+            out.append(_too_much(len(hit), len(words_of(text)) if hit else 0))
+        return pa.array(out, pa.bool_())
+
+    row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]).alias("row")
+    joined = docs.select(row, F.col("text").cast("string").cast("binary").alias("text"), *_hashes()).join(_met(docs, benchmark, parts, size), ["h", "g"], "left")
+    return joined.where(~over("text", "runs")).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

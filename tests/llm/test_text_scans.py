@@ -31,7 +31,10 @@ def brute_contamination(text, items):
     return len(words), len(hit), len(found), hashlib.sha256(ids.encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(words)
 
 
-def test_contamination(spark, docs, no_docs):
+@pytest.mark.parametrize("bound", [1 << 20, 150])
+def test_contamination(spark, docs, no_docs, monkeypatch, bound):
+    """By one automaton, and by several whose results are merged."""
+    monkeypatch.setattr(decontaminate, "MAX_AUTOMATON_BYTES", bound)
     rng = np.random.default_rng(1)
     vocabulary = ["ab", "Cd", "é", "x9", "to"]
     say = lambda n: " ".join(rng.choice(vocabulary, n))
@@ -50,6 +53,24 @@ def test_contamination(spark, docs, no_docs):
     assert decontaminate.contamination(no_docs, bench).count() == 0 and decontaminate.clean(no_docs, bench).count() == 0
 
 
+def test_contamination_by_names_and_repeats(spark):
+    """Items named by strings; texts and items of one word over and over, where blocks meet at many places."""
+    items = [("a/1", "la " * 40), ("b", "la la la"), ("c", "x " + "la " * 12), ("d", "la " * 13 + "y"), ("a/1", "so " * 6), ("e", "so la " * 30)]
+    texts = ["la " * 500, "la la", "la " * 12, "x " + "la " * 12, "so " * 6, "q so la so " + "la so " * 9, "z " * 200 + "la la la", "so la " * 300]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in decontaminate.contamination(frame, bench).collect():
+        assert tuple(r)[1:6] == brute_contamination(texts[r.doc_id], items), texts[r.doc_id][:40]
+
+
+def test_automaton_grows_with_words():
+    """A few bytes of automaton for each word: every word is in one block, not in a window for each of its places."""
+    rng = np.random.default_rng(3)
+    text = " ".join(f"w{n}" for n in rng.integers(0, 50_000, 20_000)).encode()
+    scanner = decontaminate.Scanner([("i", text)])
+    assert scanner.automaton.get_stats()["nodes_count"] <= 2.2 * 20_000
+
+
 def brute_tokens(text, rule):
     """Each token by itself, over character spans that round outwards."""
     import tiktoken  # noqa: F401
