@@ -184,13 +184,64 @@ def test_viterbi_is_the_best_path():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    scores, pairs = rng.normal(size=(5, 4, 3)), rng.normal(size=(3, 3))
-    got = pii.viterbi(scores, pairs)
-    for s, labels in zip(scores, got):
+    scores, pairs, lengths = rng.normal(size=(6, 4, 3)), rng.normal(size=(3, 3)), np.array([4, 1, 2, 3, 4, 4])
+    got = pii.viterbi(scores, pairs, lengths)
+    for s, labels, n in zip(scores, got, lengths):
         def value(p):
-            return sum(s[i, y] for i, y in enumerate(p)) + sum(pairs[a, b] for a, b in zip((0, *p), (*p, 0)))
+            return sum(s[i, y] for i, y in enumerate(p)) + sum(pairs[a, b] for a, b in zip(p, p[1:]))
 
-        assert value(labels) == max(value(p) for p in itertools.product(range(3), repeat=4))
+        assert value(labels[:n]) == max(value(p) for p in itertools.product(range(3), repeat=int(n))) and not labels[n:].any()
+
+
+def brute_field(line, field):
+    """Labels of a line's words: every weight looked up by itself, every path tried."""
+    import itertools
+
+    words = line.split()
+    shapes = [pii.shape(w) for w in words]
+    kinds = [field.coarse.get(pii.coarse(w, s), len(field.coarse)) for w, s in zip(words, shapes)]
+    kind = lambda i: kinds[i] if 0 <= i < len(words) else len(field.coarse) + 1
+    scores = []
+    for i, s in enumerate(shapes):
+        e = sum(field.own[field.features[f]] for f in s if f in field.features)
+        e = e + sum(field.near[c][kind(i + step)] for c, step in enumerate(field.OFFSETS))
+        scores.append(e + sum(field.couples[c][kind(i + c - 2) * (len(field.coarse) + 2) + kind(i + c - 1)] for c in range(4)))
+    paths = itertools.product(range(len(pii.LABELS)), repeat=len(words))
+    return max(paths, key=lambda p: sum(s[y] for s, y in zip(scores, p)) + sum(field.pairs[a, b] for a, b in zip(p, p[1:])))
+
+
+def test_spans_of_the_field_against_brute_force():
+    """Whole texts: repeated and empty lines, marks, lines of all lengths together."""
+    field = pii.trained()
+    lines = ["jane at example dot com", "call 555-123-4567 now", "", "Bob [at] foo.org!", "4111-1111-1111-1112", "a b c d", "###", "ssn 123-45-6789 x", "  at at ", "(at) (dot) com", "*5551234567*", "jane at example dot com"]
+    texts = ["\n".join(lines), "\n".join(lines[::-1]) + "\n" + "word " * 3000, "", lines[0]]
+    for text, got in zip(texts, pii.crf_spans(texts, field)):
+        want, at = [], 0
+        for line in text.split("\n"):
+            labels = brute_field(line, field) if len(line.split()) < 6 else [0] * len(line.split())
+            words = [(m.start(), m.end()) for m in re.finditer(r"\S+", line)]
+            for i, y in enumerate(labels):
+                if y and (not i or labels[i - 1] != y):
+                    last = next((j for j in range(i, len(labels)) if labels[j] != y), len(labels)) - 1
+                    cut = line[words[i][0] : words[last][1]]
+                    left = len(cut) - len(cut.lstrip(pii._EDGE.replace("(", "")))
+                    if cut.strip(pii._EDGE):
+                        want.append((at + words[i][0] + left, f"crf_{pii.LABELS[y]}", at + words[i][0] + len(cut.rstrip(pii._EDGE))))
+            at += len(line) + 1
+        assert [(a, kind, b) for a, _, kind, b in got] == want
+
+
+def test_spelled_out_addresses_and_plain_prose():
+    """Sentences that no template gives; plain words stay as they are."""
+    field = pii.trained()
+    found = lambda x: [x[a:b] for a, _, _, b in pii.all_spans([x], field)[0][1]]
+    for text, spans in {
+        "john.smith at example dot com": ["john.smith at example dot com"], "bob [at] example.com": ["bob [at] example.com"],
+        "Drop a line to jane at example dot com please": ["jane at example dot com"], "jane (at) mail (dot) example (dot) org": ["jane (at) mail (dot) example (dot) org"],
+        "We met at noon, and the dot was red": [], "A phone and an email are not needed at the office": [], "de la de la at at at com com": [],
+        "The Mayor of New York Spoke at Length to the Press": [], "Her name is Anna Petrova and she lives at home": [],
+    }.items():
+        assert found(text) == spans, text
 
 
 def test_pii_rows_and_mask(spark, docs, no_docs):
