@@ -24,12 +24,35 @@ def shard_slices(s: Sharding, shard: Sequence[int]) -> Iterator[tuple[int, tuple
         yield local, tuple(int(a) * n for a, n in zip(at, s.inner))
 
 
-def decode_index(content: bytes, s: Sharding, shard: Sequence[int]) -> list[tuple[int | None, int | None]]:
-    """(offset, length) by inner chunk, (None, None) without data."""
+def index_range(size: int, s: Sharding, shard: Sequence[int]) -> tuple[int, int]:
+    """Start and length of the index in a shard of ``size`` bytes."""
     n = s.index_length(shard)
-    if len(content) < n:
-        raise CodecError(f"shard of {len(content)} bytes is shorter than its index of {n}")
-    raw = decode_bytes(content[:n] if s.location == "start" else content[len(content) - n :], s.index_codecs[1:])
+    if size < n:
+        raise CodecError(f"shard of {size} bytes is shorter than its index of {n}")
+    return (0 if s.location == "start" else size - n), n
+
+
+def decode_index(content: bytes, s: Sharding, shard: Sequence[int]) -> list[tuple[int | None, int | None]]:
+    """(offset, length) by inner chunk of a whole shard, (None, None) without data."""
+    start, n = index_range(len(content), s, shard)
+    return index_entries(content[start : start + n], len(content), s)
+
+
+def near_ranges(ranges: Sequence[tuple[int, int]], max_gap: int = MAX_GAP, max_span: int = MAX_SPAN) -> list[tuple[int, int]]:
+    """(start, end) of ranges (offset, length) of one object, near ones read as one."""
+    out: list[tuple[int, int]] = []
+    for offset, length in sorted(ranges):
+        end = max(out[-1][1], offset + length) if out else 0
+        if out and offset - out[-1][1] <= max_gap and end - out[-1][0] <= max_span:
+            out[-1] = (out[-1][0], end)
+        else:
+            out.append((offset, offset + length))
+    return out
+
+
+def index_entries(content: bytes, size: int, s: Sharding) -> list[tuple[int | None, int | None]]:
+    """The entries of an encoded index of a shard of ``size`` bytes."""
+    raw = decode_bytes(content, s.index_codecs[1:])
     out = []
     for offset, length in np.frombuffer(raw, "<u8").reshape(-1, 2).tolist():
         if offset == EMPTY and length == EMPTY:
@@ -38,7 +61,7 @@ def decode_index(content: bytes, s: Sharding, shard: Sequence[int]) -> list[tupl
             raise CodecError("shard index entry is half empty")
         elif offset >= 1 << 63 or length >= 1 << 63:
             raise ResourceLimit("shard index entry", (1 << 63) - 1, max(offset, length))
-        elif offset + length > len(content):
+        elif offset + length > size:
             raise CodecError("shard index entry lies outside the shard")
         else:
             out.append((offset, length))

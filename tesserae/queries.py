@@ -20,6 +20,7 @@ from tesserae.plans import selection as S
 from tesserae.plans.descriptor import ArrayDescriptor, Sharding
 from tesserae.plans.shards import coalesced
 from tesserae.sources.arrays import Array, open_array
+from tesserae.sources.objects import Store
 
 LITTLE = C.Bytes("little")
 
@@ -71,21 +72,30 @@ def q_factored(spark, sf_dir):
     return _embeddings(spark, sf_dir).select(S.Indices([3, 1, 1, 499]), S.Slice(0, 64, 5))
 
 
-def _sparse(spark, sf_dir) -> tuple[DataFrame, ArrayDescriptor]:
-    """One user's values, by the number of the event."""
+def _sparse(spark, sf_dir, chunk: int) -> tuple[DataFrame, ArrayDescriptor]:
+    """The values of all events, at twice their numbers: every other cell, and of chunks of one every other chunk, is empty."""
     rows = _table(spark, sf_dir, "events")
-    first, n = rows.agg(F.min("user_id"), F.max("event_id") + 1).first()
-    cells = rows.where(F.col("user_id") == first).select(F.col("event_id").cast("long").alias("i0"), F.col("value").alias("v"))
-    return cells, ArrayDescriptor((n,), (64,), dtype("float64"), -1)
+    n = rows.agg(F.max("event_id") + 1).first()[0]
+    cells = rows.select((F.col("event_id").cast("long") * 2).alias("i0"), F.col("value").alias("v"))
+    return cells, ArrayDescriptor((2 * n,), (chunk,), dtype("float64"), -1)
 
 
 def q_fill_sparse(spark, sf_dir):
-    cells, d = _sparse(spark, sf_dir)
+    """Whole table; chunks of users who have no events in a stretch stay empty."""
+    cells, d = _by_user(spark, sf_dir)
     return write.create_and_open(cells, fresh(spark), d).read_all()
 
 
+def _by_user(spark, sf_dir) -> tuple[DataFrame, ArrayDescriptor]:
+    """The number of events by user and hour of the stream, sparse by itself."""
+    rows = _table(spark, sf_dir, "events")
+    users, events = rows.agg(F.max("user_id") + 1, F.max("event_id") + 1).first()
+    cells = rows.groupBy(F.col("user_id").cast("long").alias("i0"), F.expr("event_id div 200").cast("long").alias("i1")).agg(F.count("*").cast("int").alias("v"))
+    return cells, ArrayDescriptor((users, -(-events // 200)), (8, 5), dtype("int32"), -1)
+
+
 def q_write_receipt(spark, sf_dir):
-    cells, d = _sparse(spark, sf_dir)
+    cells, d = _by_user(spark, sf_dir)
     r = write.create_array(cells, fresh(spark), d)
     return spark.createDataFrame([(r.n_objects, r.n_bytes, r.encoded_chunks, r.omitted_chunks)], "objects long, bytes long, encoded long, omitted long")
 
@@ -128,7 +138,7 @@ def q_big_endian_i2(spark, sf_dir):
 def _sharded(location: str, outer: tuple = ()):
     def query(spark, sf_dir):
         sharding = Sharding((64, 16), (LITTLE, C.Zlib(1)), location=location)
-        return _embeddings(spark, sf_dir, chunks=(192, 64), sharding=sharding, codecs=outer).region((10, 4), (183, 24))
+        return _embeddings(spark, sf_dir, chunks=(192, 64), sharding=sharding, codecs=outer).read_all()
 
     return query
 
@@ -235,11 +245,59 @@ def q_hierarchy(spark, sf_dir):
 
 
 def q_cell_stats(spark, sf_dir):
-    cells = _embeddings(spark, sf_dir).region((0, 0), (256, 32))
+    cells = _embeddings(spark, sf_dir).read_all()
     v = F.col("v").cast("double")
     return cells.groupBy("i1").agg(F.round(F.avg(v), 9).alias("mean"), F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"))
 
 
+def q_half_floats(spark, sf_dir):
+    """Sizes of parts as half floats."""
+    return _column(spark, sf_dir, "part", "p_partkey", "p_size", "float16", (LITTLE, C.Zlib(1))).read_all()
+
+
+def q_delta_bool(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("i0"), (F.col("user_id") % 2 == 1).alias("v"))
+    n = rows.agg(F.max("i0")).first()[0] + 1
+    return write.create_and_open(rows, fresh(spark), ArrayDescriptor((n,), (512,), dtype("bool"), False, (C.Delta(), LITTLE))).read_all()
+
+
+def q_delta_float(spark, sf_dir):
+    """Values in quarters, whose differences are exact."""
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("i0"), (F.floor(F.col("value") * 4) / 4).alias("v"))
+    n = rows.agg(F.max("i0")).first()[0] + 1
+    return write.create_and_open(rows, fresh(spark), ArrayDescriptor((n,), (1024,), dtype("float64"), 0, (C.Delta(), LITTLE, C.Gzip(1)))).read_all()
+
+
+def q_object_digests(spark, sf_dir):
+    """Digests of the objects of an array of letters, a byte each."""
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").cast("long").alias("i0"), (F.col("user_id") % 26 + 65).cast("smallint").alias("v"))
+    n = rows.agg(F.max("i0")).first()[0] + 1
+    return write.create_array(rows, fresh(spark), ArrayDescriptor((n,), (1000,), dtype("uint8"), 0)).objects.select("key", "length", "sha256")
+
+
+def q_v2_blosc(spark, sf_dir):
+    return _embeddings(spark, sf_dir, zarr_format=2, separator=".", codecs=(LITTLE, C.Blosc("zstd", 3, "shuffle", 4, 0))).read_all()
+
+
+def q_datasource(spark, sf_dir):
+    """An array as a table of ``format("tesserae")``."""
+    from tesserae.sources.datasource import register
+
+    a = _embeddings(spark, sf_dir)
+    register(spark)
+    return spark.read.format("tesserae").load(f"{Store(spark, a.root).root}/{a.path}".rstrip("/")).select("i0", "i1", "v")
+
+
+def q_region_wide(spark, sf_dir):
+    """More than 256 chunks of an axis, of which only the touched are opened."""
+    return _embeddings(spark, sf_dir, chunks=(1, 64)).region((100, 0), (290, 64))
+
+
+def q_shard_inner(spark, sf_dir):
+    """A box of inner chunks, read by their ranges."""
+    return _embeddings(spark, sf_dir, chunks=(192, 64), sharding=Sharding((64, 16), (LITTLE, C.Zlib(1))), codecs=()).region((10, 4), (183, 24))
+
+
 def q_fold_stop(spark, sf_dir):
     """Cells of the first two chunks; the fold then stops."""
     a = _embeddings(spark, sf_dir)
@@ -255,7 +313,7 @@ def q_fold_stop(spark, sf_dir):
 
 
 def q_dense(spark, sf_dir):
-    cells, d = _sparse(spark, sf_dir)
+    cells, d = _sparse(spark, sf_dir, 4096)
     return relational.dense(spark, cells, d.shape, -1.0)
 
 
@@ -265,9 +323,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _CELLS = "SELECT vec_id AS i0, i - 1 AS i1, embedding[i] AS v FROM embeddings, range(1, 65) t(i)"
 _PRICES = "SELECT o_orderkey::BIGINT AS i0, o_totalprice AS v FROM orders"
-_KEPT = "user_id = (SELECT min(user_id) FROM events)"
-_SHARDS = f"SELECT * FROM ({_CELLS}) WHERE i0 BETWEEN 10 AND 192 AND i1 BETWEEN 4 AND 27"
-_FILLED = f"SELECT event_id::BIGINT AS i0, CASE WHEN {_KEPT} THEN value ELSE -1 END::DOUBLE AS v FROM events"
+_DENSE = "SELECT i0, coalesce(value, -1)::DOUBLE AS v FROM (SELECT range AS i0 FROM range((SELECT 2 * max(event_id) + 2 FROM events))) LEFT JOIN events ON event_id * 2 = i0"
+_GRID = "SELECT u.range AS i0, h.range AS i1 FROM range((SELECT max(user_id) + 1 FROM events)) u, range((SELECT max(event_id) // 200 + 1 FROM events)) h"
+_BY_USER = "SELECT user_id::BIGINT AS i0, (event_id // 200)::BIGINT AS i1, count(*)::INTEGER AS v FROM events GROUP BY ALL"
+_FILLED = f"SELECT g.i0, g.i1, coalesce(v, -1)::INTEGER AS v FROM ({_GRID}) g LEFT JOIN ({_BY_USER}) b ON g.i0 = b.i0 AND g.i1 = b.i1"
 _DELTA = "SELECT event_id::BIGINT AS i0, (user_id - coalesce(lag(user_id) OVER (PARTITION BY event_id // 64 ORDER BY event_id), 0))::BIGINT AS v FROM events"
 _USERS = "SELECT event_id::BIGINT AS i0, user_id::BIGINT AS v FROM events"
 # Published receipts of these layouts and workloads.
@@ -292,18 +351,23 @@ FROM (VALUES
 
 
 def oracle_sql() -> dict[str, str]:
-    cells = {n: _CELLS for n in ("q_read_all", "q_transpose", "q_v2_c", "q_v2_f")}
+    cells = {n: _CELLS for n in ("q_read_all", "q_transpose", "q_v2_c", "q_v2_f", "q_shard_end", "q_shard_start", "q_shard_outer_gzip", "q_v2_blosc", "q_datasource")}
     prices = {n: _PRICES for n in ("q_shuffle_gzip", "q_zlib", "q_zstd", "q_crc32c", "q_blosc")}
-    shards = {n: _SHARDS for n in ("q_shard_end", "q_shard_start", "q_shard_outer_gzip")}
     points = ", ".join(f"({k}::BIGINT, {a}::BIGINT, {b}::BIGINT)" for k, (a, b) in enumerate(POINTS))
-    return cells | prices | shards | {
+    return cells | prices | {
         "q_region_direct": f"SELECT * FROM ({_CELLS}) WHERE i0 BETWEEN 10 AND 12 AND i1 BETWEEN 4 AND 7",
         "q_region_border": f"SELECT * FROM ({_CELLS}) WHERE i0 >= (SELECT max(vec_id) - 4 FROM embeddings)",
         "q_points": f"SELECT p.ord, p.i0, p.i1, c.v FROM (VALUES {points}) p(ord, i0, i1) JOIN ({_CELLS}) c ON p.i0 = c.i0 AND p.i1 = c.i1",
         "q_factored": f"SELECT a.o0, b.o1, c.i0, c.i1, c.v FROM (VALUES (0::BIGINT, 3), (1, 1), (2, 1), (3, 499)) a(o0, x) CROSS JOIN (SELECT range AS o1, 5 * range AS y FROM range(13)) b JOIN ({_CELLS}) c ON c.i0 = a.x AND c.i1 = b.y",
         "q_fill_sparse": _FILLED,
-        "q_dense": _FILLED,
-        "q_write_receipt": f"SELECT count(*)::BIGINT AS objects, 512 * count(*)::BIGINT AS bytes, count(*)::BIGINT AS encoded, ((SELECT max(event_id) // 64 + 1 FROM events) - count(*))::BIGINT AS omitted FROM (SELECT DISTINCT event_id // 64 FROM events WHERE {_KEPT})",
+        "q_dense": _DENSE,
+        "q_write_receipt": f"SELECT count(*)::BIGINT AS objects, 160 * count(*)::BIGINT AS bytes, count(*)::BIGINT AS encoded, ((SELECT (max(user_id) // 8 + 1) * (max(event_id) // 1000 + 1) FROM events) - count(*))::BIGINT AS omitted FROM (SELECT DISTINCT i0 // 8, i1 // 5 FROM ({_BY_USER}))",
+        "q_half_floats": "SELECT p_partkey::BIGINT AS i0, p_size::FLOAT AS v FROM part",
+        "q_delta_bool": "SELECT event_id::BIGINT AS i0, user_id % 2 = 1 AS v FROM events",
+        "q_delta_float": "SELECT event_id::BIGINT AS i0, floor(value * 4) / 4 AS v FROM events",
+        "q_object_digests": "SELECT 'c/' || event_id // 1000 AS key, 1000::BIGINT AS length, sha256(string_agg(chr((65 + user_id % 26)::INTEGER), '' ORDER BY event_id)) AS sha256 FROM events GROUP BY event_id // 1000",
+        "q_region_wide": f"SELECT * FROM ({_CELLS}) WHERE i0 >= 100 AND i0 < 390",
+        "q_shard_inner": f"SELECT * FROM ({_CELLS}) WHERE i0 BETWEEN 10 AND 192 AND i1 BETWEEN 4 AND 27",
         "q_delta_int": _USERS,
         "q_delta_encoded": _DELTA,
         "q_delta_decoded": _USERS,
@@ -317,6 +381,6 @@ def oracle_sql() -> dict[str, str]:
         "q_evidence": _EVIDENCE,
         "q_cache_stats": "SELECT * FROM (VALUES ('direct-balanced', 8::BIGINT, 8::BIGINT, 262144::BIGINT, 524288::BIGINT), ('sharded-balanced', 10, 10, 262404, 524808)) t(layout, hits, misses, fetched_bytes, served_bytes)",
         "q_hierarchy": "SELECT * FROM (VALUES ('', 'group', 3), ('bold', 'array', 3), ('derived', 'group', 3), ('derived/mask', 'array', 3)) t(path, kind, format)",
-        "q_cell_stats": f"SELECT i1, round(avg(v::DOUBLE), 9) AS mean, min(v) AS least, max(v) AS most, count(*)::BIGINT AS n FROM ({_CELLS}) WHERE i0 < 256 AND i1 < 32 GROUP BY i1",
+        "q_cell_stats": f"SELECT i1, round(avg(v::DOUBLE), 9) AS mean, min(v) AS least, max(v) AS most, count(*)::BIGINT AS n FROM ({_CELLS}) GROUP BY i1",
         "q_fold_stop": f"SELECT count(*)::BIGINT AS cells, 4::BIGINT AS planned, 2::BIGINT AS visited, 2::BIGINT AS decoded, false AS completed, round(sum(v::DOUBLE), 6) AS total FROM ({_CELLS}) WHERE i0 < 64 AND i1 < 32",
     }

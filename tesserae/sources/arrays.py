@@ -1,8 +1,9 @@
 """Opening nodes and scanning arrays as DataFrames of cells.
 
-A scan reads the touched objects, and only those, by one path pattern; each task decodes a chunk (or a shard) and
-returns its selected cells as Arrow batches. Objects that are missing are filled without touching the others: the
-plan's keys that the listing lacks become fill cells. Nothing physical is shuffled.
+A scan reads the touched objects, and only those. Where Python tasks can open the store, the plan's keys are spread over
+the tasks, which open each object by its key, read of a shard the index and the ranges that are asked for, and fill where there
+is none: nothing is listed. Elsewhere one path pattern names the objects for Spark's own source, and keys that its
+listing lacks are filled. Nothing physical is shuffled.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from tesserae.functions.geometry import chunk_key_column, index_columns, join_pa
 from tesserae.functions.strict_json import loads
 from tesserae.plans import selection as S
 from tesserae.plans.descriptor import ArrayDescriptor, parse_v2, parse_v3
-from tesserae.plans.shards import decode_index, shard_slices
-from tesserae.sources import http
+from tesserae.plans.shards import index_entries, index_range, near_ranges, shard_slices
+from tesserae.sources import files, http
 from tesserae.sources.objects import Store, alternatives
 
 #: Cells of one Arrow batch, and elements that the driver takes as one numpy array, at most.
@@ -146,6 +147,14 @@ class Array:
         """``(o0.., i0.., v)`` of the product of one selector for each axis; ``o`` is the place in the result."""
         return self.cells(S.checked(self.descriptor.shape, selectors), placed=True)
 
+    @property
+    def by_key(self) -> bool:
+        """Whether tasks open objects by their keys."""
+        return self.table is None and not http.is_http(self.root) and files.opens(self._folder())
+
+    def _folder(self) -> str:
+        return Store(self.spark, self.root).root
+
     def objects(self, axes: Sequence[S.Axis]) -> DataFrame | None:
         """``(c0.., key, length, content)`` of the objects of the touched chunks that exist."""
         d = self.descriptor
@@ -196,6 +205,15 @@ class Array:
         schema = ", ".join([*(f"{c} long" for c in cols), f"v {d.dtype.spark}"])
         if 0 in S.output_shape(axes):
             return self.spark.createDataFrame([], schema)
+        if self.by_key:
+            root, names = self._folder(), [f"c{k}" for k in range(d.rank)]
+
+            def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        yield from opened(d, [row[c] for c in names], f"{root}/{row['path']}", axes, placed)
+
+            return self._asked(axes).mapInArrow(read, schema)
         objects, coords = self.objects(axes), [f"c{k}" for k in range(d.rank)]
 
         def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,26 +249,43 @@ class Array:
             if points.where(outside).limit(1).count():
                 raise InvalidSelection(f"points outside shape {list(d.shape)}")
         plan = S.point_plan(points, d).withColumn("key", chunk_key_column([f"c{k}" for k in range(d.rank)], d.encoding, d.separator))
-        limits = plan.agg(*[F.min(f"c{k}").alias(f"a{k}") for k in range(d.rank)], *[F.max(f"c{k}").alias(f"b{k}") for k in range(d.rank)], F.count("*").alias("n")).first()
         schema = ", ".join([f"{c} long" for c in ["ord", *self.columns]] + [f"v {d.dtype.spark}"])
+        coords, names = [f"c{k}" for k in range(d.rank)], ["ord", *self.columns, "v"]
+
+        def gathered_chunk(row: dict, content: bytes | pa.NativeFile | None) -> Iterator[pa.RecordBatch]:
+            origin = np.array([row[c] * n for c, n in zip(coords, d.chunks)], np.int64)
+            dest = pa.array([p["dest"] for p in row["points"]], pa.int64())
+            local = np.stack(np.unravel_index([p["source"] for p in row["points"]], d.chunks), 1) if d.rank else np.zeros((len(dest), 0), np.int64)
+            if content is None:
+                values = np.broadcast_to(d.fill_value, len(dest))
+            else:
+                values = whole_chunk(d, [row[c] for c in coords], content, local + origin)[tuple(local.T)]
+                values = np.broadcast_to(values, len(dest))
+            index = [pa.array(x) for x in (local + origin).T]
+            yield pa.RecordBatch.from_arrays([dest, *index, d.dtype.to_arrow(np.ascontiguousarray(values))], names)
+
+        if self.by_key:
+            root = f"{self._folder()}/{self.path}" if self.path else self._folder()
+
+            def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for row in batch.to_pylist():
+                        content = files.open_object(f"{root}/{row['key']}")
+                        yield from gathered_chunk(row, content)
+                        if content is not None:
+                            content.close()
+
+            return plan.select(*coords, "key", "points").mapInArrow(read, schema)
+        limits = plan.agg(*[F.min(f"c{k}").alias(f"a{k}") for k in range(d.rank)], *[F.max(f"c{k}").alias(f"b{k}") for k in range(d.rank)], F.count("*").alias("n")).first()
         if not limits["n"]:
             return self.spark.createDataFrame([], schema)
         box = [S.Axis(limits[f"a{k}"] * c, 1, min(s, (limits[f"b{k}"] + 1) * c) - limits[f"a{k}"] * c) for k, (s, c) in enumerate(zip(d.shape, d.chunks))]
-        objects, coords, names = self.objects(box), [f"c{k}" for k in range(d.rank)], ["ord", *self.columns, "v"]
+        objects = self.objects(box)
 
         def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for row in batch.to_pylist():
-                    origin = np.array([row[c] * n for c, n in zip(coords, d.chunks)], np.int64)
-                    dest = pa.array([p["dest"] for p in row["points"]], pa.int64())
-                    local = np.stack(np.unravel_index([p["source"] for p in row["points"]], d.chunks), 1) if d.rank else np.zeros((len(dest), 0), np.int64)
-                    if row.get("content") is None:
-                        values = np.broadcast_to(d.fill_value, len(dest))
-                    else:
-                        values = whole_chunk(d, [row[c] for c in coords], row["content"], local + origin)[tuple(local.T)]
-                        values = np.broadcast_to(values, len(dest))
-                    index = [pa.array(x) for x in (local + origin).T]
-                    yield pa.RecordBatch.from_arrays([dest, *index, d.dtype.to_arrow(np.ascontiguousarray(values))], names)
+                    yield from gathered_chunk(row, row.get("content"))
 
         if objects is None:
             return plan.select(*coords, "points").mapInArrow(gathered, schema)
@@ -270,22 +305,47 @@ class Array:
         return out
 
 
-def blocks(d: ArrayDescriptor, coords: Sequence[int], content: bytes, axes: Sequence[S.Axis]) -> Iterator[tuple[list[int], np.ndarray]]:
-    """(origin, values) of a chunk, or of the selected inner chunks of a shard; inner chunks without data are fill."""
+def opened(d: ArrayDescriptor, coords: Sequence[int], uri: str, axes: Sequence[S.Axis], placed: bool) -> Iterator[pa.RecordBatch]:
+    """Selected cells of the object at ``uri``; of fill where there is none."""
+    content = files.open_object(uri)
+    if content is None:
+        yield from selected(d, [c * n for c, n in zip(coords, d.chunks)], np.broadcast_to(d.fill_value, d.chunks), axes, placed)
+        return
+    with content:
+        for origin, block in blocks(d, coords, content, axes):
+            yield from selected(d, origin, block, axes, placed)
+
+
+def blocks(d: ArrayDescriptor, coords: Sequence[int], content: bytes | pa.NativeFile, axes: Sequence[S.Axis]) -> Iterator[tuple[list[int], np.ndarray]]:
+    """(origin, values) of a chunk, or of the selected inner chunks of a shard; inner chunks without data are fill.
+
+    Of an open shard only the index and the selected chunks' ranges are read, near ones as one, unless the shard as a whole is encoded.
+    """
     origin = [c * n for c, n in zip(coords, d.chunks)]
     if d.sharding is None:
-        yield origin, C.decode_chunk(content, d.chunks, d.codecs, d.dtype)
+        yield origin, C.decode_chunk(content if isinstance(content, bytes) else content.read(), d.chunks, d.codecs, d.dtype)
         return
-    content = C.decode_bytes(content, d.codecs)
-    index = decode_index(content, d.sharding, d.chunks)
+    if d.codecs or isinstance(content, bytes):
+        content = pa.BufferReader(C.decode_bytes(content if isinstance(content, bytes) else content.read(), d.codecs))
+    start, n = index_range(content.size(), d.sharding, d.chunks)
+    index = index_entries(content.read_at(n, start), content.size(), d.sharding)
+    asked = []
     for local, at in shard_slices(d.sharding, d.chunks):
         low = [o + x for o, x in zip(origin, at)]
         if all(len(a.inside(x, min(x + n, s))[0]) for a, x, n, s in zip(axes, low, d.sharding.inner, d.shape)):
-            offset, length = index[local]
-            yield low, np.broadcast_to(d.fill_value, d.sharding.inner) if offset is None else C.decode_chunk(content[offset : offset + length], d.sharding.inner, d.sharding.codecs, d.dtype)
-
-
-def whole_chunk(d: ArrayDescriptor, coords: Sequence[int], content: bytes, points: np.ndarray) -> np.ndarray:
+            asked.append((low, *index[local]))
+    for low, offset, _ in asked:
+        if offset is None:
+            yield low, np.broadcast_to(d.fill_value, d.sharding.inner)
+    held = sorted((x for x in asked if x[1] is not None), key=lambda x: x[1])
+    for start, end in near_ranges([(offset, length) for _, offset, length in held]):
+        part = content.read_at(end - start, start)
+        while held and held[0][1] + held[0][2] <= end:
+            low, offset, length = held.pop(0)
+            yield low, C.decode_chunk(part[offset - start : offset - start + length], d.sharding.inner, d.sharding.codecs, d.dtype)
+
+
+def whole_chunk(d: ArrayDescriptor, coords: Sequence[int], content: bytes | pa.NativeFile, points: np.ndarray) -> np.ndarray:
     """The nominal chunk with the parts decoded that hold the points."""
     axes = [S.Axis(length=len(p), values=p) for p in points.T]
     out = np.broadcast_to(d.fill_value, d.chunks).copy()

@@ -7,13 +7,11 @@ on a view would be those of the next. A partition is a run of chunks; each task
 
 from __future__ import annotations
 
-import posixpath
 from collections.abc import Iterator
 from math import prod
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs as arrow_fs
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -22,7 +20,8 @@ from tesserae.functions.geometry import chunk_key, index_columns
 from tesserae.functions.strict_json import loads
 from tesserae.plans import selection as S
 from tesserae.plans.descriptor import ArrayDescriptor, parse_v2, parse_v3
-from tesserae.sources.arrays import blocks, selected
+from tesserae.sources.arrays import opened
+from tesserae.sources.files import open_object
 
 #: Chunks of a partition at least, and partitions at most.
 CHUNKS, PARTITIONS = 16, 100_000
@@ -86,18 +85,11 @@ class CellReader(DataSourceReader):
         low, counts = self._grid()
         for nth in range(*partition.value):
             coords = [int(c) + a for c, a in zip(np.unravel_index(nth, counts), low)] if counts else []
-            content = _read(f"{self.folder}/{chunk_key(coords, d.encoding, d.separator)}")
-            if content is None:
-                yield from selected(d, [c * n for c, n in zip(coords, d.chunks)], np.broadcast_to(d.fill_value, d.chunks), axes, False)
-            else:
-                for origin, block in blocks(d, coords, content, axes):
-                    yield from selected(d, origin, block, axes, False)
+            yield from opened(d, coords, f"{self.folder}/{chunk_key(coords, d.encoding, d.separator)}", axes, False)
 
 
 def _read(uri: str) -> bytes | None:
-    uri = "file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri
-    store, path = arrow_fs.FileSystem.from_uri(uri) if "://" in uri else (arrow_fs.LocalFileSystem(), posixpath.abspath(uri))
-    if store.get_file_info(path).type != arrow_fs.FileType.File:
+    if (f := open_object(uri)) is None:
         return None
-    with store.open_input_stream(path) as f:
+    with f:
         return f.read()

@@ -326,3 +326,56 @@ def test_any_chain_round_trips(chain, shape, seed):
     x = np.random.default_rng(seed).integers(0, 2 if name == "bool" else 100, shape).astype(t.numpy)
     codecs = C.checked_chain(C.typed((C.Transpose(tuple(order)), *([C.Delta()] if delta else []), C.Bytes(endian), *rest), t), shape, t)
     assert C.decode_chunk(C.encode_chunk(x, codecs, t), shape, codecs, t).tobytes() == x.tobytes()
+
+
+class CountedFile:
+    """A file that keeps which ranges were read of it."""
+
+    def __init__(self, data):
+        self.data, self.reads = data, []
+
+    def size(self):
+        return len(self.data)
+
+    def read_at(self, n, at):
+        self.reads.append((at, n))
+        return self.data[at : at + n]
+
+
+@pytest.mark.parametrize("location", ["start", "end"])
+def test_shards_are_read_in_ranges(location):
+    """The index and the ranges of the selected inner chunks, near ones as one; never the others' bytes."""
+    from tesserae.plans import shards as P
+    from tesserae.sources.arrays import blocks
+
+    s = Sharding((4, 4), (C.Bytes("little"),), location=location)
+    d = ArrayDescriptor((16, 16), (16, 16), dtype("int32"), 7, (), sharding=s)
+    values = np.arange(256, dtype="<i4").reshape(16, 16)
+    parts = [None if k == 5 else values[at[0] : at[0] + 4, at[1] : at[1] + 4].tobytes() for k, at in P.shard_slices(s, d.chunks)]
+    data = P.assemble(parts, s, d.chunks)
+    for box, n_reads, n_bytes in ((((0, 0), (16, 16)), 2, 15 * 64), (((5, 5), (1, 1)), 1, 0), (((13, 13), (2, 2)), 2, 64), (((0, 0), (4, 8)), 2, 128)):
+        axes, file = S.region(d.shape, *box), CountedFile(data)
+        got = np.full((16, 16), -1)
+        for (a, b), block in blocks(d, (0, 0), file, axes):
+            got[a : a + 4, b : b + 4] = block
+        want = np.where((np.arange(16)[:, None] // 4 == 1) & (np.arange(16) // 4 == 1), 7, values)
+        part = tuple(slice(o, o + e) for o, e in zip(*box))
+        assert (got[part] == want[part]).all()
+        assert len(file.reads) == n_reads and sum(n for _, n in file.reads) == n_bytes + s.index_length(d.chunks)
+    far = [(0, 10), (5000, 10), (20, 4000), (9000, 10)]
+    assert P.near_ranges(far, max_gap=100) == [(0, 4020), (5000, 5010), (9000, 9010)]
+    assert P.near_ranges([]) == [] and P.near_ranges(far, max_gap=1 << 20) == [(0, 9010)]
+
+
+def test_untouched_objects_are_not_opened(spark, tmp_path):
+    """All objects outside of the selection are spoiled: opening one of them would fail."""
+    d = ArrayDescriptor((700, 4), (1, 4), dtype("int32"), 0, (C.Bytes("little"), C.Crc32c()))
+    cells = spark.range(2800).selectExpr("id div 4 as i0", "id % 4 as i1", "cast(id as int) as v")
+    a = write.create_and_open(cells, str(tmp_path / "store"), d)
+    kept = {*range(300, 600), 0, 699}
+    for k in range(700):
+        if k not in kept:
+            next((tmp_path / "store").rglob(f"c/{k}/0")).write_bytes(b"spoiled")
+    assert a.region((300, 1), (300, 2)).agg({"v": "sum"}).first()[0] == sum(4 * r + c for r in range(300, 600) for c in (1, 2))
+    assert [r.v for r in a.points([(0, 0), (699, 3), (0, 0)]).orderBy("ord").collect()] == [0, 2799, 0]
+    assert a.select(S.Slice(0, 700, 699), S.All()).count() == 8

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("embeddings", "events", "orders", "nation"):
+    for t in ("embeddings", "events", "orders", "nation", "part"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = queries.queries()[name](spark, SF)
     rel = con.sql(queries.oracle_sql()[name])
