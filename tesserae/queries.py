@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -20,15 +19,14 @@ from tesserae.plans import selection as S
 from tesserae.plans.descriptor import ArrayDescriptor, Sharding
 from tesserae.plans.shards import coalesced
 from tesserae.sources.arrays import Array, open_array
-from tesserae.sources.objects import Store
+from tesserae.sources.objects import Store, scratch
 
 LITTLE = C.Bytes("little")
 
 
 def fresh(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="arrays-")
-    return f"{shared.rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    return f"{scratch(spark, 'arrays-')}/arrays-{uuid.uuid4().hex}"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -312,6 +310,14 @@ def q_fold_stop(spark, sf_dir):
     return spark.createDataFrame([(total, r.planned, r.visited, r.decoded, r.completed, round(values, 6))], "cells long, planned long, visited long, decoded long, completed boolean, total double")
 
 
+def q_fold_all(spark, sf_dir):
+    """Sums over all cells by partial folds, one for each run of chunks."""
+    a = _embeddings(spark, sf_dir, chunks=(192, 64), sharding=Sharding((64, 16), (LITTLE, C.Zlib(1))), codecs=())
+    count = lambda state, table: ((state[0] + len(table), state[1] + float(table["v"].to_numpy().astype(float).sum())), True)
+    (cells, total), r = fold.fold_ranges(a, a.all_axes(), (0, 0.0), count, lambda x, y: (x[0] + y[0], x[1] + y[1]))
+    return spark.createDataFrame([(cells, r.planned, r.visited, r.completed, round(total, 6))], "cells long, planned long, visited long, completed boolean, total double")
+
+
 def q_dense(spark, sf_dir):
     cells, d = _sparse(spark, sf_dir, 4096)
     return relational.dense(spark, cells, d.shape, -1.0)
@@ -382,5 +388,6 @@ def oracle_sql() -> dict[str, str]:
         "q_cache_stats": "SELECT * FROM (VALUES ('direct-balanced', 8::BIGINT, 8::BIGINT, 262144::BIGINT, 524288::BIGINT), ('sharded-balanced', 10, 10, 262404, 524808)) t(layout, hits, misses, fetched_bytes, served_bytes)",
         "q_hierarchy": "SELECT * FROM (VALUES ('', 'group', 3), ('bold', 'array', 3), ('derived', 'group', 3), ('derived/mask', 'array', 3)) t(path, kind, format)",
         "q_cell_stats": f"SELECT i1, round(avg(v::DOUBLE), 9) AS mean, min(v) AS least, max(v) AS most, count(*)::BIGINT AS n FROM ({_CELLS}) GROUP BY i1",
+        "q_fold_all": f"SELECT count(*)::BIGINT AS cells, count(DISTINCT i0 // 192)::BIGINT AS planned, count(DISTINCT i0 // 192)::BIGINT AS visited, true AS completed, round(sum(v::DOUBLE), 6) AS total FROM ({_CELLS})",
         "q_fold_stop": f"SELECT count(*)::BIGINT AS cells, 4::BIGINT AS planned, 2::BIGINT AS visited, 2::BIGINT AS decoded, false AS completed, round(sum(v::DOUBLE), 6) AS total FROM ({_CELLS}) WHERE i0 < 64 AND i1 < 32",
     }

@@ -96,9 +96,18 @@ def alternatives(values: Sequence[int], count: int) -> str:
     return "*" if count > MAX_ALTERNATIVES else "{" + ",".join(map(str, values)) + "}"
 
 
+def scratch(spark: SparkSession, prefix: str) -> str:
+    """The folder that the session names for all executors; a temporary one only where all of them are on this machine."""
+    if shared := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return shared.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix=prefix)
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """Compute once, in the shared checkpoint folder that the session names (a temporary one only where it names none)."""
+    """Compute once, in the shared checkpoint folder that the session names."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoint-"))
     return df.checkpoint()

@@ -379,3 +379,20 @@ def test_untouched_objects_are_not_opened(spark, tmp_path):
     assert a.region((300, 1), (300, 2)).agg({"v": "sum"}).first()[0] == sum(4 * r + c for r in range(300, 600) for c in (1, 2))
     assert [r.v for r in a.points([(0, 0), (699, 3), (0, 0)]).orderBy("ord").collect()] == [0, 2799, 0]
     assert a.select(S.Slice(0, 700, 699), S.All()).count() == 8
+
+
+def test_fold_in_runs(spark, tmp_path):
+    """Partial folds merge to the fold in order, with missing chunks, a stop in the middle, and any number of runs."""
+    d = ArrayDescriptor((23, 7), (4, 3), dtype("int32"), -1)
+    cells = spark.range(23 * 7).selectExpr("id div 7 as i0", "id % 7 as i1", "cast(id as int) as v").where("i0 < 8 or i0 >= 12")
+    a = write.create_and_open(cells, str(tmp_path / "store"), d)
+    axes = S.region(d.shape, (2, 1), (20, 6))
+    listed = lambda state, table: (state + table["v"].to_pylist(), True)
+    want, receipt = fold.fold_chunks(a, axes, [], listed)
+    for runs in (1, 3, 40):
+        got, r = fold.fold_ranges(a, axes, [], listed, lambda x, y: x + y, runs)
+        assert got == want and r == receipt
+    stop = lambda state, table: (state + table["v"].to_pylist(), 29 not in table["v"].to_pylist())
+    want, _ = fold.fold_chunks(a, axes, [], stop)
+    got, r = fold.fold_ranges(a, axes, [], stop, lambda x, y: x + y, 4)
+    assert got == want and not r.completed
