@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tesserae.sources.objects import scratch
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -18,12 +19,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` in the shared folder that the session names.
 
-    Only where neither ``spark.checkpoint.dir`` nor a checkpoint folder is set (tests on one machine) is a
-    temporary folder used.
+    Only where neither ``spark.checkpoint.dir`` nor a checkpoint folder is set, on one machine, is a temporary folder
+    used; elsewhere that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoint-"))
     return df.checkpoint()
 
 

@@ -149,11 +149,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of ``docs``, all its columns unchanged, for each group: that of the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; the one whose text has the smallest hash stays. Rows without a
+    Rows that repeat a doc_id are one document; the one whose text, then whole row, has the smallest hash stays. Rows without a
     doc_id stay, as nothing tells which document they are.
     """
     keep = near_duplicates(docs, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_keep_id")).distinct()
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     joined = docs.select(F.col("doc_id").cast("long").alias("_keep_id"), row.alias("_row")).join(keep, "_keep_id", "left_semi")
-    kept = joined.groupBy("_keep_id").agg(F.min_by("_row", F.xxhash64("_row.text")).alias("_row")).select("_row.*")
+    kept = joined.groupBy("_keep_id").agg(F.min_by("_row", F.struct(F.xxhash64("_row.text"), F.xxhash64(F.to_json("_row")))).alias("_row")).select("_row.*")
     return kept.unionByName(docs.where("doc_id is null"))

@@ -273,3 +273,18 @@ def test_pipeline_stage_by_stage(spark):
     dirty = {r.doc_id for r in seen[2].collect() if brute_contamination(r.text, items)[4]}
     assert {r.doc_id for r in seen[2].collect()} - dirty == {r.doc_id for r in seen[3].collect()}
     assert corpus_pipeline.run(spark, sf).count() == n[5]
+
+
+def test_pipeline_odd_rows(spark, docs, no_docs, tmp_path):
+    """Nulls, empty texts, repeated rows and clashing names go through all stages; empty tables give an empty mixture."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(0, 60, 2)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "one two three"), (None, "x"), (2, None)], "item_id long, text string")
+    for name, table, size in (("some", docs, None), ("none", no_docs, 0)):
+        folder = str(tmp_path / name)
+        for t, frame in (("documents", table), ("labels", labels), ("benchmark", bench)):
+            frame.coalesce(1).write.parquet(f"{folder}/{t}.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert set(table.columns) <= set(out.columns) and (out.count() == size if size is not None else out.count() > 0)
+        assert out.where("text is null").count() == 0
