@@ -25,7 +25,9 @@ TARGET_RECALL = 0.97
 SAMPLE_ROWS = 16384
 #: Centroids of a half, at least and at most; between them a twelfth of the root of the number of vectors:
 #: fewer cells mean fewer visits to ship, more mean fewer vectors to verify.
-CENTROIDS = (4, 256)
+CENTROIDS = (4, 2048)
+#: Cells of a grid whose counts are broadcast, at most; those of a larger grid are joined as Spark sees fit.
+BROADCAST_CELLS = 1 << 16
 #: Vectors of a cell, or queries that visit it, in one tile.
 TILE_ROWS = 2048
 
@@ -50,7 +52,7 @@ class MultiIndex:
 
     def __init__(self, sample: np.ndarray, n: int, threshold: float = THRESHOLD, target: float = TARGET_RECALL):
         self.half = sample.shape[1] // 2
-        k = int(min(max(n**0.5 / 12, CENTROIDS[0]), CENTROIDS[1], len(sample)))
+        k = int(min(max(n**0.5 / 12, CENTROIDS[0]), CENTROIDS[1], max(len(sample) // 8, CENTROIDS[0]), len(sample)))
         self.books = _kmeans(sample[:, : self.half], k), _kmeans(sample[:, self.half :], k)
         self.bound = 0.0
         rng = np.random.default_rng(0)
@@ -174,7 +176,8 @@ def _links(classes: DataFrame, width: int, n: int, threshold: float, target: flo
     blocks = cells.where("members > 0").select(
         "cell", F.ceil(F.col("queries") / TILE_ROWS).cast("int").alias("qs"), F.ceil(F.col("members") / TILE_ROWS).cast("int").alias("ms")
     )
-    at = filed.join(F.broadcast(blocks), "cell")  # at most a row for each cell of the grid, 65,536 in all
+    few = len(index.books[0]) * len(index.books[1]) <= BROADCAST_CELLS
+    at = filed.join(F.broadcast(blocks) if few else blocks, "cell")
     each = lambda size: F.sequence(F.lit(0), F.col(size) - 1)
     ask = at.select("cell", F.pmod(F.xxhash64("rep"), "qs").cast("int").alias("q"), F.explode(each("ms")).alias("m"), F.lit(True).alias("asks"), "rep", "size", "v")
     own = at.where("member").select("cell", F.explode(each("qs")).alias("q"), F.pmod(F.xxhash64("rep", F.lit(1)), "ms").cast("int").alias("m"), F.lit(False).alias("asks"), "rep", "size", "v")

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpoint
+from tesserae.llm.common import checkpoint, small_frame
 from tesserae.llm.components import Forest, connected_components
 
 SHINGLE_WORDS = 4
@@ -63,7 +63,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """``fps (fp)``, distinct, to edges ``(a, b)`` that join exactly what fingerprints within ``radius`` bits join.
 
-    The driver sees 65 counts. A tile holds neighbouring population counts; two tiles meet in one task as two packed
+    The driver sees 65 counts and a row for each tile. A tile holds neighbouring population counts; two tiles meet in one task as two packed
     rows. Tasks return a spanning forest of the links they find, never all pairs.
     """
     bins = {r["p"]: r["count"] for r in fps.groupBy(F.bit_count("fp").alias("p")).count().collect()}
@@ -77,18 +77,19 @@ def near_pairs(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
             split[p], base[p] = -(-bins[p] // rows), len(tiles)
             tiles += [[p, p, -(-bins[p] // split[p])] for _ in range(split[p])]
     n = len(tiles)
-    partners = [[j for j in range(n) if max(tiles[i][0], tiles[j][0]) - min(tiles[i][1], tiles[j][1]) <= radius] for i in range(n)]
+    # tiles ascend in population count, so those that a tile meets from itself on are neighbours; the cluster writes them out
+    last = np.searchsorted([t[0] for t in tiles], [t[1] + radius for t in tiles], "right") - 1 if n else np.empty(0, int)
 
     p = F.bit_count("fp")
     lookup = lambda xs: F.element_at(F.array(*map(F.lit, xs)), p + 1)
     tile = (lookup(base) + F.pmod(F.xxhash64("fp"), lookup(split))).cast("int").alias("tile")
     packed = fps.select(tile, "fp").groupBy("tile").applyInArrow(_pack, "tile int, fps binary")
-    spark = fps.sparkSession
-    pairs = spark.createDataFrame(
-        [(t, min(t, o) * n + max(t, o)) for t in range(n) for o in partners[t]], "tile int, pair long"
+    bounds = small_frame(fps.sparkSession, list(enumerate(last.tolist())), "one int, last int")
+    pairs = bounds.select("one", F.explode(F.sequence("one", "last")).alias("two")).select(
+        F.explode(F.array_distinct(F.array("one", "two"))).alias("tile"), (F.col("one").cast("long") * n + F.col("two")).alias("pair")
     )
     # little data and much work for each pair: as many tasks as pairs, within reason
-    met = packed.join(pairs, "tile").repartition(min(max(1, sum(map(len, partners)) // 2), TASKS), "pair")
+    met = packed.join(pairs, "tile").repartition(min(max(1, int(last.sum()) - n * (n - 1) // 2 + n), TASKS), "pair")
     return met.groupBy("pair").applyInArrow(_comparer(radius), "a long, b long")
 
 
