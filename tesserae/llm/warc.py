@@ -4,9 +4,9 @@ A server-not-modified revisit has no body. It is joined, as of its date, to the
 same canonical URL; the validators of both are compared, and the revisit's headers that a 304 may change replace those
 of the response. Only DataFrame functions are used.
 
-The as-of join never brings all records of a URL together: a URL's time line is cut into slices of equal width. Inside
-a slice a window looks back; across slices the last response of each slice is carried forward, and of those there are
-at most ``SLICES`` for a URL.
+The as-of join never brings all records of a hot URL together: the time line of a URL of more than ``HOT_ROWS`` records
+is cut at quantiles of its own dates. Inside a slice a window looks back; across slices the last response of each slice
+is carried forward, and of those there are at most ``SLICES`` for a URL.
 """
 
 from __future__ import annotations
@@ -14,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SLICES = 1024
+from tesserae.llm.common import checkpoint
+
+#: Records of a URL that are one slice, at most, and slices of a URL that has more.
+HOT_ROWS, SLICES = 16384, 1024
 
 # Fields of a 304 that describe a message or a body that the stored response alone has (RFC 9110, 9111).
 NOT_MERGED = (
@@ -28,18 +31,40 @@ NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no default port, no user info, no empty query; a path at least ``/``."""
+    """The URL in one spelling: scheme and host in lower case, no user info, default port, fragment or empty query.
+
+    The path has no dot segments and starts with ``/``; percent codes are in upper case. A host in brackets (IPv6) is
+    kept with them. What has no scheme and ``//`` is only cut at its fragment; null stays null.
+    """
     url = F.trim(url)
-    part = lambda n: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?([^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?", n)
+    part = lambda n: F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)(?::([0-9]*))?([^?#]*)(\?[^#]*)?", n)
     scheme, host, port, path, query = F.lower(part(1)), F.lower(part(2)), part(3), part(4), part(5)
     default = (port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443"))
+    dotted = path.rlike(r"/\.\.?(/|$)")
+    path = F.when(path == "", "/").when(dotted, _without_dots(path)).otherwise(path)
     built = F.concat(
         scheme, F.lit("://"), host, F.when(default, "").otherwise(F.concat(F.lit(":"), port)),
-        F.when(path == "", "/").otherwise(path), F.when(query == "?", "").otherwise(query),
+        _upper_codes(path), F.when(query == "?", "").otherwise(_upper_codes(query)),
     )
     return F.when(scheme == "", F.regexp_replace(url, "#.*$", "")).otherwise(built)
 
 
+def _without_dots(path: Column) -> Column:
+    """``.`` leaves out itself, ``..`` also the segment before it; a path that ends in either ends in ``/``."""
+    step = lambda done, s: (
+        F.when(s == ".", done).when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.concat(done, F.array(s)))
+    )
+    segments = F.split(F.concat(F.regexp_replace(path, "^/", ""), F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")), "/", -1)
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(segments, F.array().cast("array<string>"), step), "/"))
+
+
+def _upper_codes(text: Column) -> Column:
+    pieces = F.split(text, "%", -1)
+    code = lambda s: F.when(s.rlike("^[0-9A-Fa-f]{2}"), F.concat(F.upper(F.substring(s, 1, 2)), s.substr(F.lit(3), F.length(s)))).otherwise(s)
+    coded = F.array_join(F.transform(pieces, lambda s, i: F.when(i == 0, s).otherwise(code(s))), "%")
+    return F.when(F.contains(text, F.lit("%")), coded).otherwise(text)
+
+
 def headers(block: Column) -> Column:
     """An HTTP header block to a map of lower-case names; repeated fields are joined by comma in their order."""
     lines = F.filter(F.split(block, "\r?\n"), lambda x: F.instr(x, ":") > 1)
@@ -58,7 +83,7 @@ def merged(stored: Column, fresh: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, _: ~F.map_contains_key(new, k)), new)
 
 
-def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
+def resolve_revisits(records: DataFrame, hot_rows: int = HOT_ROWS, slices: int = SLICES) -> DataFrame:
     """One row for each not-modified revisit in ``records``, resolved or not.
 
     ``records``: record_id STRING, warc_type, profile, target_uri, warc_date TIMESTAMP, http_status INT,
@@ -76,9 +101,9 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
         "record_id", "warc_type", "profile", canonical_url(F.col("target_uri")).alias("url"), "warc_date",
         F.unix_micros("warc_date").alias("at"), "http_status", "http_headers", "payload_digest", "payload_length",
     )
-    first, last = rows.agg(F.min("at"), F.max("at")).first()
-    first, width = first or 0, ((last or 0) - (first or 0)) // slices + 1
-    rows = rows.withColumn("slice", F.expr(f"(at - {first}L) div {width}L"))
+    cuts = _cuts(rows.where(F.col("url").isNotNull() & F.col("at").isNotNull()), hot_rows, slices)
+    before_at = F.filter("cuts", lambda cut: cut < F.col("at"))
+    rows = rows.join(cuts, "url", "left").withColumn("slice", F.when(F.col("cuts").isNull(), 0).otherwise(F.size(before_at))).drop("cuts")
     full = (F.col("warc_type") == RESPONSE) & (F.col("http_status") == 200)
     found = F.struct("record_id", "warc_date", "http_headers", "payload_digest", "payload_length")
     moments = (
@@ -111,12 +136,20 @@ def resolve_revisits(records: DataFrame, slices: int = SLICES) -> DataFrame:
     )
 
 
+def _cuts(timed: DataFrame, hot_rows: int, slices: int) -> DataFrame:
+    """``(url, cuts)``: quantiles of the dates of each URL of more than ``hot_rows`` records; settled, as they are approximate."""
+    hot = timed.groupBy("url").agg(F.count("*").alias("n")).where(F.col("n") > hot_rows).select("url")
+    shares = [k / slices for k in range(1, slices)] or [1.0]
+    return checkpoint(timed.join(hot, "url").groupBy("url").agg(F.array_distinct(F.percentile_approx("at", shares)).alias("cuts")))
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Every page as two WARC records: a full response, and a later not-modified revisit of its URL.
 
     ``pages`` has no capture times or headers, so these follow from page_id and the page's own digest: page p is
     answered at minute p from the start of 2024 and revisited 90 minutes and p mod 7 days later. A revisit repeats the
-    page's ETag, except that one in five has a changed one and one in seven sends only a date.
+    page's ETag, except that one in five has a changed one and one in seven sends only a date. A page without an id gives
+    two records without id and date.
     """
     url, digest = F.col("url"), F.md5(F.coalesce("html", F.lit("")))
     p = F.col("page_id")

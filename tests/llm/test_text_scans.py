@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesserae.llm import decontaminate, license_scan, queries, token_counts, warc
 
@@ -235,14 +236,48 @@ def test_revisits(spark):
 
     rows = [tuple(datetime.fromisoformat(v) if k == 4 and v else v for k, v in enumerate(r)) for r in rows]
     frame = spark.createDataFrame(rows, schema).selectExpr("*", "1 as at", "'x' as url", "2 as slice")
-    for slices in (1, 3, 1024):
-        got = sorted((r.record_id, r.outcome, r.match_id) for r in warc.resolve_revisits(frame, slices).collect())
+    for slices in ((1, 1), (1, 3), (2, 1024), (warc.HOT_ROWS, warc.SLICES)):
+        got = sorted((r.record_id, r.outcome, r.match_id) for r in warc.resolve_revisits(frame, *slices).collect())
         assert got == [("r1", "no_earlier", None), ("r2", "resolved", "a"), ("r2", "resolved", "a"), ("r3", "mismatch", "b"), ("r4", "resolved", "b"), ("r5", "unvalidated", "b"), ("r6", "no_earlier", None), ("r7", "no_earlier", None)]
     r2 = warc.resolve_revisits(frame).where("record_id = 'r2'").first()
     assert r2.merged_headers == {"etag": 'W/"a"', "last-modified": "Mon", "content-type": "text/html", "x-a": "3"} and r2.payload_digest == "da"
     assert warc.resolve_revisits(frame.where("false")).count() == 0
 
 
+def test_canonical_urls(spark):
+    same = {
+        "HTTP://u:p@Ex.com:80/a/./b/../c?#f": "http://ex.com/a/c", "https://[2001:DB8::1]:443/x": "https://[2001:db8::1]/x", "https://[::1]:8443": "https://[::1]:8443/",
+        "http://e/%7e%c3%a9/%zz%?q=%2f": "http://e/%7E%C3%A9/%zz%?q=%2F", "http://e/../../a/..": "http://e/", "http://e/a/b/.": "http://e/a/b/", "http://e/a//b/...": "http://e/a//b/...",
+        "urn:x#y": "urn:x", "": "", None: None,
+    }
+    frame = spark.createDataFrame([(u,) for u in same], "u string")
+    got = {r.u: r.c for r in frame.select("u", warc.canonical_url(F.col("u")).alias("c")).collect()}
+    assert got == same
+
+
+def test_revisits_of_a_hot_url_equal_brute_force(spark):
+    """One URL with two thirds of the records, ties among them, and one stray date long before the rest."""
+    from datetime import datetime, timedelta, timezone
+
+    rng, rows = np.random.default_rng(5), []
+    for i in range(600):
+        day = datetime(2024, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=int(rng.integers(0, 250)))
+        day = datetime(1970, 1, 2, tzinfo=timezone.utc) if i == 3 else day
+        url = "http://hot/" if rng.random() < 0.66 else f"http://e/{int(rng.integers(0, 40))}"
+        kind = rng.random() < 0.3 or i == 3
+        rows.append((f"{i:04d}", "response" if kind else "revisit", None if kind else warc.NOT_MODIFIED, url, day, 200 if kind else 304, 'ETag: "a"', f"d{i}", i))
+    schema = "record_id string, warc_type string, profile string, target_uri string, warc_date timestamp, http_status int, http_headers string, payload_digest string, payload_length long"
+    want = []
+    for r in rows:
+        if r[1] == "revisit":
+            earlier = [(x[4], x[0]) for x in rows if x[1] == "response" and x[3] == r[3] and x[4] < r[4]]
+            want.append((r[0], max(earlier)[1] if earlier else None))
+    frame = spark.createDataFrame(rows, schema)
+    for hot_rows, slices in ((5, 8), (50, 1024), (10000, 1024)):
+        got = [(r.record_id, r.match_id) for r in warc.resolve_revisits(frame, hot_rows, slices).collect()]
+        assert sorted(got) == sorted(want)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     sf = "/root/testdata/sf0.001"
