@@ -11,15 +11,20 @@ from pyspark.sql import functions as F
 
 from tesserae.errors import InvalidHierarchy, NodeNotFound
 from tesserae.functions.strict_json import Number, loads
+from tesserae.sources.arrays import MODES, Group
 from tesserae.sources.objects import Store
 
 _NAMES = ("zarr.json", ".zarray", ".zgroup", ".zattrs")
 _SCHEMA = "path string, kind string, format int"
-MODES = ("prefer", "require", "ignore")
+#: Documents that are listed where there is no consolidated one, at most.
+MAX_DOCUMENTS = 100_000
 
 
-def nodes(spark: SparkSession, root: str, mode: str = "prefer") -> DataFrame:
-    """All nodes; ``mode`` says whether a consolidated document is preferred, required or ignored."""
+def nodes(spark: SparkSession, root: str, mode: str = "prefer", max_documents: int = MAX_DOCUMENTS) -> DataFrame:
+    """All nodes; ``mode`` says whether a consolidated document is preferred, required or ignored.
+
+    A listing of more than ``max_documents`` documents is an error.
+    """
     store = Store(spark, root)
     if mode not in MODES:
         raise ValueError(f"mode is one of {', '.join(MODES)}")
@@ -38,11 +43,16 @@ def nodes(spark: SparkSession, root: str, mode: str = "prefer") -> DataFrame:
             return _checked(_v2(spark, list(doc.get("metadata", {}))), spark)
     if mode == "require":
         raise NodeNotFound("no consolidated metadata")
-    return _listed(spark, store)
+    return _listed(spark, store, max_documents)
+
+
+def children_of(group: Group) -> DataFrame:
+    """Immediate children of an opened group."""
+    return children(group.spark, group.root, group.path, group.mode)
 
 
 def children(spark: SparkSession, root: str, path: str = "", mode: str = "prefer") -> DataFrame:
-    """Immediate children of a group."""
+    """Immediate children of the group at ``path``."""
     return nodes(spark, root, mode).where(F.regexp_replace("path", "/?[^/]+$", "") == path).where("path <> ''")
 
 
@@ -76,8 +86,8 @@ def _ancestors(found: DataFrame) -> DataFrame:
     return found.where("path <> ''").select("path", F.explode(above).alias("above"))
 
 
-def _listed(spark: SparkSession, store: Store) -> DataFrame:
-    listing = store.documents(_NAMES)
+def _listed(spark: SparkSession, store: Store, limit: int) -> DataFrame:
+    listing = store.documents(_NAMES, limit)
     found = _flags(spark.createDataFrame([(k,) for k, _ in listing], "key string"))
     bad = (
         F.when((F.col("n_v3") > 0) & (F.col("n_array") + F.col("n_group") > 0), "v2 and v3 documents")

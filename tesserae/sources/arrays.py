@@ -40,9 +40,13 @@ class Registry:
     codecs: Mapping[str, C.Maker] = field(default_factory=dict)
 
 
+#: How consolidated metadata are used: where there are any, or else an error, or never.
+MODES = ("prefer", "require", "ignore")
+
+
 @dataclass(frozen=True)
 class Group:
-    """An opened group."""
+    """An opened group; what it opens below itself uses its registry and mode."""
 
     spark: SparkSession
     root: str
@@ -50,6 +54,21 @@ class Group:
     attributes: Mapping
     zarr_format: int
     document: Mapping = field(default_factory=dict)
+    registry: Registry = field(default_factory=Registry)
+    mode: str = "prefer"
+
+    def open(self, path: str) -> Array | Group:
+        """The node at ``path`` below this group."""
+        return open_node(self.spark, self.root, self._below(path), self.registry, self.mode)
+
+    def open_array(self, path: str, dtype: str | None = None) -> Array:
+        return open_array(self.spark, self.root, self._below(path), dtype, self.registry, self.mode)
+
+    def open_group(self, path: str) -> Group:
+        return open_group(self.spark, self.root, self._below(path), self.registry, self.mode)
+
+    def _below(self, path: str) -> str:
+        return join_path(self.path, path)
 
 
 def _document(store: Store | str, path: str, name: str):
@@ -64,6 +83,8 @@ def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry
     Consolidated metadata at the root answer for the nodes below it where ``mode`` is prefer; require fails without
     them, ignore reads each node's own documents.
     """
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {', '.join(MODES)}")
     store = root if http.is_http(root) else Store(spark, root)
     at = root if http.is_http(root) else store.root
     top = (_document(store, "", "zarr.json") or {}).get("consolidated_metadata") if path and mode != "ignore" else None
@@ -76,7 +97,7 @@ def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry
         if doc.get("node_type") == "array":
             return Array(spark, at, path, parse_v3(doc, registry.codecs, registry.types))
         if doc.get("node_type") == "group":
-            return Group(spark, at, path, doc.get("attributes", {}), 3, doc)
+            return Group(spark, at, path, doc.get("attributes", {}), 3, doc, registry, mode)
         raise InvalidMetadata(f"node type {doc.get('node_type')!r}")
     inline = _document(store, "", ".zmetadata") if mode != "ignore" else None
     if inline is not None:
@@ -87,13 +108,13 @@ def open_node(spark: SparkSession, root: str, path: str = "", registry: Registry
     if (doc := get(".zarray")) is not None:
         return Array(spark, at, path, parse_v2(doc, get(".zattrs"), registry.codecs))
     if (doc := get(".zgroup")) is not None:
-        return Group(spark, at, path, get(".zattrs") or {}, 2, inline or {})
+        return Group(spark, at, path, get(".zattrs") or {}, 2, inline or {}, registry, mode)
     raise NodeNotFound(f"no node at {path or 'the root'} of {root}")
 
 
-def open_array(spark: SparkSession, root: str, path: str = "", dtype: str | None = None, registry: Registry = Registry()) -> Array:
+def open_array(spark: SparkSession, root: str, path: str = "", dtype: str | None = None, registry: Registry = Registry(), mode: str = "prefer") -> Array:
     """An array; a group, or another type than ``dtype``, is an error before any data is read."""
-    node = open_node(spark, root, path, registry)
+    node = open_node(spark, root, path, registry, mode)
     if not isinstance(node, Array):
         raise InvalidMetadata(f"{path or 'the root'} is a group")
     if dtype is not None:
@@ -102,17 +123,23 @@ def open_array(spark: SparkSession, root: str, path: str = "", dtype: str | None
 
 
 def open_table(objects: DataFrame, path: str = "", registry: Registry = Registry()) -> Array:
-    """A v3 array whose objects are rows ``(key, payload)`` of a table; the payloads of other chunks are not read."""
-    key = join_path(path, "zarr.json") if path else "zarr.json"
-    found = objects.where(F.col("key") == key).select("payload").limit(1).collect()
-    if not found:
-        raise NodeNotFound(f"no {key} in the table")
-    d = parse_v3(loads(bytes(found[0].payload)), registry.codecs, registry.types)
+    """An array of either format, v3 first, whose objects are rows ``(key, payload)`` of a table; of these only what a read asks for is read."""
+    names = ("zarr.json", ".zarray", ".zattrs")
+    keys = {join_path(path, n) if path else n: n for n in names}
+    found = objects.where(F.col("key").isin(*keys)).select("key", "payload").limit(len(names)).collect()
+    docs = {keys[r["key"]]: loads(bytes(r["payload"])) for r in found}
+    if "zarr.json" in docs:
+        d = parse_v3(docs["zarr.json"], registry.codecs, registry.types)
+    elif ".zarray" in docs:
+        d = parse_v2(docs[".zarray"], docs.get(".zattrs"), registry.codecs)
+    else:
+        raise NodeNotFound(f"no array at {path or 'the root'} of the table")
     return Array(objects.sparkSession, "", path, d, objects)
 
 
-def open_group(spark: SparkSession, root: str, path: str = "") -> Group:
-    node = open_node(spark, root, path)
+def open_group(spark: SparkSession, root: str, path: str = "", registry: Registry = Registry(), mode: str = "prefer") -> Group:
+    """A group; an array is an error."""
+    node = open_node(spark, root, path, registry, mode)
     if not isinstance(node, Group):
         raise InvalidMetadata(f"{path or 'the root'} is an array")
     return node

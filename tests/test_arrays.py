@@ -210,6 +210,19 @@ def test_hierarchy(spark, tmp_path):
     assert rows(hierarchy.nodes(spark, root)) == want
     assert rows(hierarchy.children(spark, root)) == [want[1], want[2]] and rows(hierarchy.children(spark, root, "derived")) == [want[3]]
     assert open_group(spark, root).attributes == {"title": "x"}
+    group = open_group(spark, root, mode="ignore")
+    assert group.open_group("derived").open_array("mask", "int32").to_numpy().tolist() == [7, 7, 7]
+    assert group.open("derived/mask").path == "derived/mask" and rows(hierarchy.children_of(group.open("derived"))) == [want[3]]
+    with pytest.raises(DTypeMismatch):
+        group.open_array("bold", "int64")
+    with pytest.raises(NodeNotFound):
+        group.open("nothing")
+    with pytest.raises(NodeNotFound):
+        open_group(spark, root, "derived", mode="require")
+    with pytest.raises(ValueError):
+        open_array(spark, root, "bold", mode="sometimes")
+    with pytest.raises(ResourceLimit):
+        hierarchy.nodes(spark, root, max_documents=3)
     with pytest.raises(InvalidMetadata):
         open_group(spark, root, "bold")
     with pytest.raises(InvalidMetadata):

@@ -115,6 +115,17 @@ def test_objects_in_a_table(spark, stored):
     assert [r.v for r in a.points([(6, 10), (0, 0)]).orderBy("ord").collect()] == [76, -1]
 
 
+def test_v2_objects_in_a_table(spark):
+    import json
+
+    from tesserae.sources.arrays import open_table
+
+    meta = {"zarr_format": 2, "shape": [3], "chunks": [2], "dtype": "<i2", "compressor": None, "fill_value": -1, "order": "C", "filters": None}
+    rows = [("x/.zarray", json.dumps(meta).encode()), ("x/.zattrs", b'{"unit": "m"}'), ("x/0", np.array([4, 5], "<i2").tobytes())]
+    a = open_table(spark.createDataFrame([(k, bytearray(v)) for k, v in rows], "key string, payload binary"), "x")
+    assert a.descriptor.zarr_format == 2 and a.to_numpy().tolist() == [4, 5, -1]
+
+
 def test_own_codec_and_type(spark, tmp_path):
     """An external codec and type, end to end."""
     from dataclasses import dataclass
